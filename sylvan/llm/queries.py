@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sylvan.llm import bpe, embedding_dedup, exact_dedup, packing, quality, toxicity
+from sylvan.llm import bpe, embedding_dedup, exact_dedup, jaccard_join, packing, quality, suffix_dedup, toxicity
 from sylvan.llm.common import read
 
 
@@ -25,6 +25,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.without_repeats(read(spark, sf_dir, "documents"))
+
+
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(read(spark, sf_dir, "embeddings"))
 
@@ -33,7 +37,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_quality, op4_packing, op5_exact_dedup, op7_embedding_dedup, op8_toxicity)}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_documents(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_bpe, op3_quality, op4_packing, op5_exact_dedup, op6_suffix_dedup, op7_embedding_dedup, op8_toxicity, op10_jaccard_join)}
 
 ORACLE = {
     "op5_exact_dedup": """
