@@ -25,8 +25,11 @@ from sylvan.llm.common import parts
 WS = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 CHUNK = re.compile(f" ?[^{WS}]+|[{WS}]+(?![^{WS}])|[{WS}]+")
 WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WS}\p{{L}}\p{{N}}]+|[{WS}]+(?![^{WS}])|[{WS}]+")
+#: A chunk of letters with these behind it is the word and then the punctuation; FIRST may begin such a chunk.
+PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+FIRST = frozenset(" abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 #: Chunks kept per worker; the table is emptied beyond that.
-KEPT = 400_000
+KEPT = 600_000
 #: Bytes of text encoded at a time.
 BATCH = 4 << 20
 NONE = np.iinfo(np.int64).max
@@ -64,7 +67,7 @@ class ByteBPE:
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)
         self.table: dict[str, bytes] = {}
         self.said: dict[str, str] = {}
-        self.words: dict[bytes, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def merge(self, words: list[bytes]) -> list[np.ndarray]:
         """Token ids of each word (non-empty byte strings)."""
@@ -105,15 +108,23 @@ class ByteBPE:
             self.said.clear()
         if len(self.words) > KEPT:
             self.words.clear()
-        chunks = list(chunks)
-        for i, j in parts([len(c) for c in chunks], 1 << 20):
-            split = [[w.encode("utf-8", "surrogatepass") for w in WORD.findall(c)] for c in chunks[i:j]]
-            new = list({w for ws in split for w in ws} - self.words.keys())
-            self.words.update(zip(new, (x.astype("<u4").tobytes() for x in self.merge(new)), strict=True))
-            for c, ws in zip(chunks[i:j], split, strict=True):
-                got = b"".join(map(self.words.__getitem__, ws))
-                self.table[c] = got
-                self.said[c] = ",".join(map(str, np.frombuffer(got, "<u4").tolist()))
+        simple, split = [], {}
+        for c in chunks:
+            w = c.rstrip(PUNCTUATION)
+            if w[1:].isalpha() and w[0] in FIRST:
+                simple.append((c, w, c[len(w) :]))
+            else:
+                split[c] = WORD.findall(c)
+        need = {w for _, w, _ in simple}.union((p for _, _, p in simple), *split.values()) - {""}
+        self.words[""] = b""
+        new = list(need - self.words.keys())
+        for i, j in parts([len(w) for w in new], 1 << 19):
+            ids = self.merge([w.encode("utf-8", "surrogatepass") for w in new[i:j]])
+            self.words.update(zip(new[i:j], (x.astype("<u4").tobytes() for x in ids), strict=True))
+        word = self.words
+        self.table.update((c, word[w] + word[p]) for c, w, p in simple)
+        self.table.update((c, b"".join(map(word.__getitem__, ws))) for c, ws in split.items())
+        self.said.update((c, ",".join(map(str, np.frombuffer(self.table[c], "<u4").tolist()))) for c in chunks)
 
     def encode_batch(self, texts: list[str]) -> list[tuple[np.ndarray, str]]:
         """For each whole text its ids, and the same ids in decimal joined by commas."""
