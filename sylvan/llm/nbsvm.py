@@ -117,11 +117,17 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, most_rows: int
     The share kept is set so that about most_rows rows and about most_chars characters are expected; rows are chosen by a
     hash of doc_id. Null labels are left out, null text is empty, labels other than 0 and 1 are left out.
     """
-    may = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (F.crc32(F.col("doc_id").cast("string")) % 3 != 1)).select("doc_id", F.col(label).alias("__y"))
-    both = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(may, "doc_id")
-    n, chars = both.agg(F.count("*"), F.sum(F.char_length("text"))).first()
-    share = min(1.0, most_rows / max(n, 1), most_chars / max(chars or 0, 1))
-    got = both.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("text", F.col("__y").cast("int"), "doc_id").toArrow()
-    order = np.argsort(got.column(2).to_numpy(), kind="stable")
-    text, y = got.column(0).to_pylist(), got.column(1).to_numpy()
+    y = F.col(label)
+    may = labels.where(F.col("doc_id").isNotNull() & y.isin(0, 1) & (F.crc32(F.col("doc_id").cast("string")) % 3 != 1))
+    share = min(1.0, most_rows / max(may.count(), 1))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    sample = may.where(place < int(share * (1 << 30))).groupBy("doc_id").agg(F.max(y).cast("int").alias("__y"))
+    # About most_rows rows, so fit to be sent to every task: the texts are not shuffled.
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    size = sorted((r[1], r[0], r[2]) for r in rows.groupBy("doc_id").agg(F.first(place), F.max(F.char_length("text"))).collect())
+    chars = np.cumsum([x[2] for x in size])
+    below = size[int(np.searchsorted(chars, most_chars, side="right"))][0] if len(size) and chars[-1] > most_chars else 1 << 30
+    got = rows.where(place < below).groupBy("doc_id").agg(F.max("text"), F.max("__y")).toArrow()
+    order = np.argsort(got.column(0).to_numpy(), kind="stable")
+    text, y = got.column(1).to_pylist(), got.column(2).to_numpy()
     return [text[i] for i in order], y[order]

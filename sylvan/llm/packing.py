@@ -11,6 +11,7 @@ so a monotone queue over f(j) + p(j) gives each transition in amortised constant
 from __future__ import annotations
 
 import functools
+import operator
 import os
 import re
 import zlib
@@ -28,12 +29,12 @@ END_ID = 2
 #: Tokens of padding that a cut is worth: at a sentence's end, elsewhere in a document.
 SENTENCE, HARD = 8, 32
 #: Least tokens between two sentence cuts; stretches of over 2 * STEP tokens without a cut get one every STEP.
-GAP, STEP = 16, 64
+GAP, STEP = 32, 64
 #: Tokens that a task holds before it settles windows, and chunks kept per worker.
-HELD, KEPT = 1 << 20, 600_000
-BATCH = 4 << 20
+HELD, KEPT = 1 << 20, 1_000_000
+BATCH = 16 << 20
 #: str.split() also splits at these, which the tokenizer treats as text.
-SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+PUNCTUATION, LATIN = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~", re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 MARK = "\0"
 NOT_SPACE = re.compile("[\x1c-\x1f]")
 
@@ -64,8 +65,14 @@ class WordCodec:
 
     def learn(self, chunks: set[str]) -> None:
         """Encode chunks and keep them. A word with plain punctuation behind it is the word's ids and the punctuation's."""
-        cut = {c: (m[1].lower(), m[2]) if (m := SIMPLE.fullmatch(c)) else (c,) for c in chunks}
-        need = set().union(*cut.values()) - {""}
+        simple, whole = [], []
+        for c in chunks:
+            w = c.rstrip(PUNCTUATION)
+            (simple if w.isalpha() and (w.isascii() or LATIN.fullmatch(w)) else whole).append(c)
+        words = [c.rstrip(PUNCTUATION) for c in simple]
+        behind = [c[len(w) :] for c, w in zip(simple, words, strict=True)]
+        words = "\n".join(words).lower().split("\n") if words else []
+        need = set(words).union(behind, whole) - {""}
         if len(self.units) + len(need) > KEPT:
             self.units.clear()
         self.units[""] = b""
@@ -79,8 +86,9 @@ class WordCodec:
             at = np.flatnonzero(ids == self.mark)
             raw, begin, end = ids.tobytes(), 4 * np.append(0, at + 1), 4 * np.append(at, len(ids))
             self.units.update(zip(new[i:j], (raw[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)), strict=True))
-        unit = self.units
-        self.table.update((c, unit[x[0]] + unit[x[1]] if len(x) > 1 else unit[x[0]]) for c, x in cut.items())
+        get = self.units.__getitem__
+        self.table.update(zip(simple, map(operator.add, map(get, words), map(get, behind)), strict=True))
+        self.table.update(zip(whole, map(get, whole), strict=True))
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         cut = [None if NOT_SPACE.search(x) else x.split() for x in texts]
@@ -126,17 +134,18 @@ def candidates(ids: np.ndarray, ends: np.ndarray, sentence: np.ndarray, window:
     """Positions where a cut may fall and their penalties. ends: the documents' ends in ids, the last one len(ids)."""
     at = np.flatnonzero(sentence[ids]) + 1
     at = at[np.append(True, np.diff(at // GAP) > 0)] if len(at) else at
-    place = np.unique(np.concatenate([[0], at, ends]))
-    wide = np.flatnonzero(np.diff(place) > 2 * STEP)
-    more = [np.arange(place[k] + STEP, place[k + 1] - STEP // 2, STEP) for k in wide]
-    if window < 2 * STEP:
-        more = [np.arange(len(ids))]
-    place = np.unique(np.concatenate([place, *more])) if len(more) else place
-    cost = np.full(len(place), HARD)
-    cost[np.isin(place, at)] = SENTENCE
-    cost[np.isin(place, ends)] = 0
+    cost = np.full(len(ids) + 1, -1, np.int16)
+    cost[at] = SENTENCE
+    cost[ends] = 0
     cost[0] = 0
-    return place, cost
+    place = np.flatnonzero(cost >= 0)
+    if window < 2 * STEP:
+        cost[cost < 0] = HARD
+    for k in np.flatnonzero(np.diff(place) > 2 * STEP).tolist():
+        more = cost[place[k] + STEP : place[k + 1] - STEP // 2 : STEP]
+        more[more < 0] = HARD
+    place = np.flatnonzero(cost >= 0)
+    return place, cost[place]
 
 
 class Packer:
