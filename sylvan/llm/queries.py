@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sylvan.llm import bpe, embedding_dedup, exact_dedup, jaccard_join, packing, quality, suffix_dedup, toxicity
+from sylvan.llm import bpe, embedding_dedup, exact_dedup, jaccard_join, packing, pii, quality, suffix_dedup, toxicity
 from sylvan.llm.common import read
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.private_spans(read(spark, sf_dir, "documents"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
 
@@ -41,7 +45,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_documents(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_quality, op4_packing, op5_exact_dedup, op6_suffix_dedup, op7_embedding_dedup, op8_toxicity, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_bpe, op3_quality, op4_packing, op5_exact_dedup, op6_suffix_dedup, op7_embedding_dedup, op8_toxicity, op10_jaccard_join)}
 
 ORACLE = {
     "op5_exact_dedup": """
