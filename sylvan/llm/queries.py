@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sylvan.llm import bpe, embedding_dedup, exact_dedup, jaccard_join, packing, pii, quality, suffix_dedup, toxicity
+from sylvan.llm import bpe, embedding_dedup, exact_dedup, html_extract, jaccard_join, packing, pii, quality, suffix_dedup, toxicity
 from sylvan.llm.common import read
 
 
@@ -41,11 +41,15 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_texts(read(spark, sf_dir, "pages"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_documents(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_bpe, op3_quality, op4_packing, op5_exact_dedup, op6_suffix_dedup, op7_embedding_dedup, op8_toxicity, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_bpe, op3_quality, op4_packing, op5_exact_dedup, op6_suffix_dedup, op7_embedding_dedup, op8_toxicity, op9_html, op10_jaccard_join)}
 
 ORACLE = {
     "op5_exact_dedup": """
