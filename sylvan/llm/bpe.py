@@ -117,7 +117,7 @@ class ByteBPE:
                 split[c] = WORD.findall(c)
         need = {w for _, w, _ in simple}.union((p for _, _, p in simple), *split.values()) - {""}
         self.words[""] = b""
-        new = list(need - self.words.keys())
+        new = list(need.difference(self.words))
         for i, j in parts([len(w) for w in new], 1 << 19):
             ids = self.merge([w.encode("utf-8", "surrogatepass") for w in new[i:j]])
             self.words.update(zip(new[i:j], (x.astype("<u4").tobytes() for x in ids), strict=True))
@@ -131,9 +131,9 @@ class ByteBPE:
         cut = [self.at_added.split(x) if self.at_added else [x] for x in texts]
         cut = [[p if k % 2 else CHUNK.findall(p) for k, p in enumerate(pieces)] for pieces in cut]
         need = set().union(*(p for pieces in cut for p in pieces[::2]))
-        if new := need - self.table.keys():
+        if new := need.difference(self.table):
             self.learn(new)
-            if need - self.table.keys():
+            if need.difference(self.table):
                 self.learn(need)
         out = []
         for pieces in cut:

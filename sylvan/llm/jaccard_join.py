@@ -47,7 +47,7 @@ class Shingler:
         try:
             h = np.fromiter(map(self.table.__getitem__, words), np.uint64, len(words))
         except KeyError:
-            self.table.update((w, xxhash.xxh64_intdigest(w)) for w in set(words) - self.table.keys())
+            self.table.update((w, xxhash.xxh64_intdigest(w)) for w in set(words).difference(self.table))
             h = np.fromiter(map(self.table.__getitem__, words), np.uint64, len(words))
         n = min(WORDS, len(h))
         s = np.full(len(h) - n + 1, n, np.uint64)

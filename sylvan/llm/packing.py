@@ -76,7 +76,7 @@ class WordCodec:
         if len(self.units) + len(need) > KEPT:
             self.units.clear()
         self.units[""] = b""
-        new = need - self.units.keys()
+        new = need.difference(self.units)
         odd = [x for x in new if MARK in x]
         self.units.update(zip(odd, self._ids(odd), strict=True))
         new = [x for x in new if MARK not in x]
@@ -93,7 +93,7 @@ class WordCodec:
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         cut = [None if NOT_SPACE.search(x) else x.split() for x in texts]
         need = set().union(*(c for c in cut if c))
-        if len(self.table) + len(new := need - self.table.keys()) > KEPT:
+        if len(self.table) + len(new := need.difference(self.table)) > KEPT:
             self.table.clear()
             new = need
         self.learn(new)

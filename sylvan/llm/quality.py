@@ -43,7 +43,7 @@ class Features:
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         cut = [x.split() for x in texts]
         need = set().union(*cut)
-        new = need - self.table.keys()
+        new = need.difference(self.table)
         if len(self.table) + len(new) > KEPT:
             self.table.clear()
             new = need
