@@ -10,7 +10,6 @@ set similarity join"). What is left is verified with whole sets; no link is lost
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -19,7 +18,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sylvan.llm.common import components, parts, written
-from sylvan.llm.embedding_dedup import complete_groups
 
 #: Words of a shingle; hashes kept per worker; text handled at a time; entries of a block; common shingles told apart
 #: (they only set the order of indexing, so this bound loses nothing); local count from which a shingle is counted.
@@ -194,24 +192,53 @@ def _lists(batches):
         yield emit(held, np.array([0]), np.array([len(held[0])]), np.array([True]))
 
 
-def _outside(frames):
-    """Pairs of a cell's entries that pass the filters and are of different groups."""
-    for g in complete_groups(frames, ["c1", "c2"]):
-        group = g["grp"].to_numpy()
-        if (group == group[0]).all():
+def outside(c1, c2, side, n, pos, doc, group):
+    """Pairs of entries of a cell that pass the filters and are of different groups; entries sorted by (c1, c2, n, doc).
+
+    All cells are compared at once: each entry with the one `step` behind it, as long as sizes may still link.
+    """
+    new = np.append(True, (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1]))
+    begins = np.flatnonzero(new)
+    size = np.diff(np.append(begins, len(c1)))
+    mixed = np.minimum.reduceat(group, begins) != np.maximum.reduceat(group, begins)
+    crossing = np.repeat(np.maximum.reduceat(side, begins) > 0, size)
+    end = np.repeat(begins + size, size)
+    i, step, a, b = np.flatnonzero(np.repeat(mixed, size)), 0, [], []
+    while True:
+        step += 1
+        i = i[i + step < end[i]]
+        i = i[4 * n[i + step] <= 5 * n[i]]
+        if not len(i):
+            break
+        j = i + step
+        ok = (group[i] != group[j]) & (~crossing[i] | (side[i] != side[j])) & may_link(n[i], pos[i], n[j], pos[j])
+        a.append(doc[i[ok]])
+        b.append(doc[j[ok]])
+    if not a:
+        return np.zeros((0, 2), np.int64)
+    a, b = np.concatenate(a), np.concatenate(b)
+    return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+
+
+def _outside(batches):
+    """outside() over batches sorted by cell; the last cell, of 2 * BLOCK entries at most, is held over."""
+    held = None
+
+    def found(cols):
+        got = outside(*cols)
+        return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], ["a", "b"])
+
+    for b in batches:
+        if not b.num_rows:
             continue
-        n, pos, doc, side = (g[c].to_numpy() for c in ("n", "pos", "doc_id", "side"))
-        left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side.any() else (np.arange(len(g)),) * 2
-        for at in range(0, len(left), 256):
-            i, j = np.broadcast_arrays(left[at : at + 256, None], right[None, :])
-            swap = (n[i] > n[j]) | ((n[i] == n[j]) & (doc[i] > doc[j]))
-            x, y = np.where(swap, j, i), np.where(swap, i, j)
-            ok = (group[i] != group[j]) & may_link(n[x], pos[x], n[y], pos[y])
-            if not side.any():
-                ok &= i < j
-            a, b = doc[x[ok]], doc[y[ok]]
-            if len(a):
-                yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+        cols = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns]
+        held = cols if held is None else [np.append(x, y) for x, y in zip(held, cols, strict=True)]
+        at = np.flatnonzero((held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1]))
+        if len(at):
+            yield found([c[: at[-1] + 1] for c in held])
+            held = [c[at[-1] + 1 :] for c in held]
+    if held is not None:
+        yield found(held)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -288,7 +315,7 @@ def near_documents(docs: DataFrame) -> DataFrame:
     ends = crossing.select(F.col("c1").alias("block"), "c1", "c2", F.lit(0).alias("side")).unionByName(crossing.select(F.col("c2").alias("block"), "c1", "c2", F.lit(1).alias("side")))
     cols = ["c1", "c2", "side", "n", "pos", "doc_id", "grp"]
     cells = e.select(F.col("block").alias("c1"), F.col("block").alias("c2"), F.lit(0).alias("side"), "n", "pos", "doc_id", "grp").unionByName(e.where("open").join(ends, "block").select(*cols))
-    more = cells.repartition(n_parts, "c1", "c2").sortWithinPartitions("c1", "c2").mapInPandas(_outside, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
+    more = cells.select(*cols).repartition(n_parts, "c1", "c2").sortWithinPartitions("c1", "c2", "n", "doc_id").mapInArrow(_outside, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
     links = links.unionByName(written(verified(more, docs, sketches), "links"))
     comp = components(links).withColumnRenamed("node", "rep")
     per_class = classes.join(comp, "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("comp"))
