@@ -9,6 +9,8 @@ set similarity join"). What is left is verified with whole sets; no link is lost
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -20,8 +22,9 @@ from pyspark.sql import functions as F
 from sylvan.llm.common import components, parts, written
 
 #: Words of a shingle; hashes kept per worker; text handled at a time; entries of a block; common shingles told apart
-#: (they only set the order of indexing, so this bound loses nothing); local count from which a shingle is counted.
-WORDS, KEPT, BATCH, BLOCK, COMMON, OFTEN = 5, 500_000, 4 << 20, 4096, 50_000, 8
+#: (they only set the order of indexing, so this bound loses nothing); count in an Arrow batch from which a
+#: shingle is counted; rounds that seek one partner a set before all are sought.
+WORDS, KEPT, BATCH, BLOCK, COMMON, OFTEN, ROUNDS = 5, 500_000, 4 << 20, 4096, 200_000, 4, 2
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -54,7 +57,8 @@ class Shingler:
             s ^= s >> np.uint64(31)
         s *= B
         s ^= s >> np.uint64(33)
-        return np.unique(s)
+        s.sort()
+        return s[np.append(True, s[1:] != s[:-1])]
 
 
 def sketch(s: np.ndarray) -> bytes:
@@ -84,6 +88,11 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def digests(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits that tell sets apart."""
+    return np.array([(s * A).sum() for s in sets], np.uint64), np.array([((s ^ (s >> np.uint64(32))) * B).sum() for s in sets], np.uint64)
+
+
 def summaries(docs: DataFrame) -> DataFrame:
     """kind 0: doc_id, set size n, 128-bit digest (s1, s2) of the set and its sketch. kind 1: a shingle (as doc_id) and how
     often it came in a batch of texts, where that is at least OFTEN."""
@@ -91,24 +100,24 @@ def summaries(docs: DataFrame) -> DataFrame:
     def run(batches):
         shingle = Shingler()
         for b in batches:
-            ids = b.column(0).to_pylist()
-            for i, texts in _texts(b, 1):
-                sets = [shingle(x) for x in texts]
-                total = [(int((s * A).sum()), int(((s ^ (s >> np.uint64(32))) * B).sum())) for s in sets]
-                s1, s2 = (np.array([t[k] for t in total], np.uint64) for k in (0, 1))
-                key, n = np.unique(np.concatenate(sets), return_counts=True)
-                key, n = key[n >= OFTEN], n[n >= OFTEN]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.repeat([0, 1], [len(sets), len(key)]).astype(np.int32)),
-                        pa.concat_arrays([pa.array(ids[i : i + len(sets)], pa.int64()), pa.array(signed(key))]),
-                        pa.array(np.append([len(s) for s in sets], n).astype(np.int64)),
-                        pa.array(np.append(signed(s1), np.zeros(len(key), np.int64))),
-                        pa.array(np.append(signed(s2), np.zeros(len(key), np.int64))),
-                        pa.array([sketch(s) if len(s) else None for s in sets] + [None] * len(key), pa.binary()),
-                    ],
-                    ["kind", "doc_id", "n", "s1", "s2", "sketch"],
-                )
+            sets = [shingle(x) for _, texts in _texts(b, 1) for x in texts]
+            s1, s2 = digests(sets)
+            every = np.concatenate(sets)
+            every.sort()
+            at = np.append(np.flatnonzero(np.append(True, every[1:] != every[:-1])), len(every)) if len(every) else np.zeros(1, np.int64)
+            n = np.diff(at)
+            key, n = every[at[:-1][n >= OFTEN]], n[n >= OFTEN]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.repeat([0, 1], [len(sets), len(key)]).astype(np.int32)),
+                    pa.concat_arrays([b.column(0), pa.array(signed(key))]),
+                    pa.array(np.append([len(s) for s in sets], n).astype(np.int64)),
+                    pa.array(np.append(signed(s1), np.zeros(len(key), np.int64))),
+                    pa.array(np.append(signed(s2), np.zeros(len(key), np.int64))),
+                    pa.array([sketch(s) if len(s) else None for s in sets] + [None] * len(key), pa.binary()),
+                ],
+                ["kind", "doc_id", "n", "s1", "s2", "sketch"],
+            )
 
     return docs.select("doc_id", "text").mapInArrow(run, "kind int, doc_id long, n long, s1 long, s2 long, sketch binary")
 
@@ -120,24 +129,26 @@ def prefixes(docs: DataFrame, common: np.ndarray) -> DataFrame:
     def run(batches):
         shingle, by_hash = Shingler(), np.sort(sent.value)
         rank = np.argsort(sent.value, kind="stable")
+        mask, maybe = np.uint64((1 << 23) - 1), np.zeros(1 << 23, bool)
+        maybe[(by_hash & mask).astype(np.int64)] = True
         for b in batches:
             ids = b.column(0).to_pylist()
             for i, texts in _texts(b, 1):
-                n, s1, s2, out = [], [], [], []
-                for x in texts:
-                    s = shingle(x)
-                    n.append(len(s))
-                    s1.append((s * A).sum())
-                    s2.append(((s ^ (s >> np.uint64(32))) * B).sum())
+                sets = [shingle(x) for x in texts]
+                s1, s2 = digests(sets)
+                n, out = np.array([len(s) for s in sets], np.int64), []
+                for s in sets:
                     most = len(s) - (4 * len(s) + 4) // 5 + 1 if len(s) else 0
-                    if len(by_hash) and len(s):
-                        at = np.minimum(np.searchsorted(by_hash, s), len(by_hash) - 1)
-                        often = by_hash[at] == s
-                        rare = s[~often]
-                        s = rare if len(rare) >= most else np.append(rare, s[often][np.argsort(rank[at[often]], kind="stable")])
-                    out.append(signed(s[:most].copy()))
-                at = pa.array(np.cumsum([0] + [len(x) for x in out]).astype(np.int32))
-                cols = [pa.array(ids[i : i + len(n)], pa.int64()), pa.array(n, pa.int64()), pa.array(signed(np.array(s1, np.uint64))), pa.array(signed(np.array(s2, np.uint64))), pa.ListArray.from_arrays(at, pa.array(np.concatenate(out)))]
+                    often = np.flatnonzero(maybe[(s & mask).astype(np.int64)])
+                    if len(often):
+                        at = np.minimum(np.searchsorted(by_hash, s[often]), len(by_hash) - 1)
+                        hit = by_hash[at] == s[often]
+                        often, at = often[hit], at[hit]
+                        rare = np.delete(s, often)
+                        s = rare if len(rare) >= most else np.append(rare, s[often][np.argsort(rank[at], kind="stable")])
+                    out.append(s[:most])
+                at = pa.array(np.append(0, np.cumsum([len(x) for x in out])).astype(np.int32))
+                cols = [pa.array(ids[i : i + len(n)], pa.int64()), pa.array(n), pa.array(signed(s1)), pa.array(signed(s2)), pa.ListArray.from_arrays(at, pa.array(signed(np.concatenate(out))))]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "s1", "s2", "prefix"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, prefix array<long>")
@@ -192,10 +203,11 @@ def _lists(batches):
         yield emit(held, np.array([0]), np.array([len(held[0])]), np.array([True]))
 
 
-def outside(c1, c2, side, n, pos, doc, group):
+def outside(c1, c2, side, n, pos, doc, group, nearest=False):
     """Pairs of entries of a cell that pass the filters and are of different groups; entries sorted by (c1, c2, n, doc).
 
     All cells are compared at once: each entry with the one `step` behind it, as long as sizes may still link.
+    With `nearest`, only the first such pair of each entry.
     """
     new = np.append(True, (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1]))
     begins = np.flatnonzero(new)
@@ -214,18 +226,23 @@ def outside(c1, c2, side, n, pos, doc, group):
         ok = (group[i] != group[j]) & (~crossing[i] | (side[i] != side[j])) & may_link(n[i], pos[i], n[j], pos[j])
         a.append(doc[i[ok]])
         b.append(doc[j[ok]])
+        if nearest:
+            i = i[~ok]
     if not a:
         return np.zeros((0, 2), np.int64)
     a, b = np.concatenate(a), np.concatenate(b)
-    return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((high, low))
+    low, high = low[order], high[order]
+    return np.stack([low, high], 1)[nearest | np.append(True, (low[1:] != low[:-1]) | (high[1:] != high[:-1]))[: len(low)]]
 
 
-def _outside(batches):
+def _outside(nearest, batches):
     """outside() over batches sorted by cell; the last cell, of 2 * BLOCK entries at most, is held over."""
     held = None
 
     def found(cols):
-        got = outside(*cols)
+        got = outside(*cols, nearest)
         return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], ["a", "b"])
 
     for b in batches:
@@ -305,18 +322,25 @@ def near_documents(docs: DataFrame) -> DataFrame:
     best = lists.where("prev IS NOT NULL").groupBy("doc_id", "prev").count().groupBy("doc_id").agg(F.max_by("prev", F.struct("count", "prev")).alias("prev"))
     tried = written(best.select(F.least("doc_id", "prev").alias("a"), F.greatest("doc_id", "prev").alias("b")).distinct(), "tried")
     links = written(verified(tried, docs, sketches), "links")
-    groups = components(links)
 
-    # Partners outside the group.
-    e = lists.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "block", "n", "pos", "doc_id", F.coalesce("component", "doc_id").alias("grp"), "open")
     blocks = lists.where("open").groupBy("key", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     x, y = blocks.alias("x"), blocks.alias("y")
     crossing = x.join(y, F.col("x.key") == F.col("y.key")).where("x.block < y.block AND 4 * y.low <= 5 * x.high AND 4 * x.low <= 5 * y.high").select(F.col("x.block").alias("c1"), F.col("y.block").alias("c2"))
-    ends = crossing.select(F.col("c1").alias("block"), "c1", "c2", F.lit(0).alias("side")).unionByName(crossing.select(F.col("c2").alias("block"), "c1", "c2", F.lit(1).alias("side")))
+    ends = written(crossing.select(F.col("c1").alias("block"), "c1", "c2", F.lit(0).alias("side")).unionByName(crossing.select(F.col("c2").alias("block"), "c1", "c2", F.lit(1).alias("side"))), "ends")
     cols = ["c1", "c2", "side", "n", "pos", "doc_id", "grp"]
-    cells = e.select(F.col("block").alias("c1"), F.col("block").alias("c2"), F.lit(0).alias("side"), "n", "pos", "doc_id", "grp").unionByName(e.where("open").join(ends, "block").select(*cols))
-    more = cells.select(*cols).repartition(n_parts, "c1", "c2").sortWithinPartitions("c1", "c2", "n", "doc_id").mapInArrow(_outside, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
-    links = links.unionByName(written(verified(more, docs, sketches), "links"))
+    for k in range(ROUNDS + 1):
+        # Partners outside the group: first one a set, so that groups grow together, in the end all.
+        nearest = k < ROUNDS
+        groups = components(links).withColumnRenamed("node", "doc_id")
+        e = lists.join(groups, "doc_id", "left").select("block", "n", "pos", "doc_id", F.coalesce("component", "doc_id").alias("grp"), "open")
+        cells = e.select(F.col("block").alias("c1"), F.col("block").alias("c2"), F.lit(0).alias("side"), "n", "pos", "doc_id", "grp").unionByName(e.where("open").join(ends, "block").select(*cols))
+        more = cells.select(*cols).repartition(n_parts, "c1", "c2").sortWithinPartitions("c1", "c2", "n", "doc_id").mapInArrow(partial(_outside, nearest), "a long, b long")
+        more = more.groupBy("a", "b").count().join(tried, ["a", "b"], "left_anti")
+        if nearest:
+            more = more.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a"))
+        more = written(more.select("a", "b"), "more")
+        tried = tried.unionByName(more)
+        links = links.unionByName(written(verified(more, docs, sketches), "links"))
     comp = components(links).withColumnRenamed("node", "rep")
     per_class = classes.join(comp, "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("comp"))
     joined = rows.join(per_class, ["s1", "s2"], "left")
