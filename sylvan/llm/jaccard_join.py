@@ -24,7 +24,7 @@ from sylvan.llm.common import components, parts, written
 #: Words of a shingle; hashes kept per worker; text handled at a time; entries of a block; common shingles told apart
 #: (they only set the order of indexing, so this bound loses nothing); count in an Arrow batch from which a
 #: shingle is counted; rounds that seek one partner a set before all are sought.
-WORDS, KEPT, BATCH, BLOCK, COMMON, OFTEN, ROUNDS = 5, 500_000, 4 << 20, 4096, 200_000, 4, 2
+WORDS, KEPT, BATCH, BLOCK, COMMON, OFTEN, ROUNDS = 5, 500_000, 4 << 20, 4096, 200_000, 4, 6
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -328,9 +328,10 @@ def near_documents(docs: DataFrame) -> DataFrame:
     crossing = x.join(y, F.col("x.key") == F.col("y.key")).where("x.block < y.block AND 4 * y.low <= 5 * x.high AND 4 * x.low <= 5 * y.high").select(F.col("x.block").alias("c1"), F.col("y.block").alias("c2"))
     ends = written(crossing.select(F.col("c1").alias("block"), "c1", "c2", F.lit(0).alias("side")).unionByName(crossing.select(F.col("c2").alias("block"), "c1", "c2", F.lit(1).alias("side"))), "ends")
     cols = ["c1", "c2", "side", "n", "pos", "doc_id", "grp"]
-    for k in range(ROUNDS + 1):
-        # Partners outside the group: first one a set, so that groups grow together, in the end all.
-        nearest = k < ROUNDS
+    new, k, nearest = links, 0, True
+    while nearest:
+        # Partners outside the group: one a set while that finds links, so that groups grow together, in the end all.
+        nearest, k = k < ROUNDS and not new.isEmpty(), k + 1
         groups = components(links).withColumnRenamed("node", "doc_id")
         e = lists.join(groups, "doc_id", "left").select("block", "n", "pos", "doc_id", F.coalesce("component", "doc_id").alias("grp"), "open")
         cells = e.select(F.col("block").alias("c1"), F.col("block").alias("c2"), F.lit(0).alias("side"), "n", "pos", "doc_id", "grp").unionByName(e.where("open").join(ends, "block").select(*cols))
@@ -340,7 +341,8 @@ def near_documents(docs: DataFrame) -> DataFrame:
             more = more.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a"))
         more = written(more.select("a", "b"), "more")
         tried = tried.unionByName(more)
-        links = links.unionByName(written(verified(more, docs, sketches), "links"))
+        new = written(verified(more, docs, sketches), "links")
+        links = links.unionByName(new)
     comp = components(links).withColumnRenamed("node", "rep")
     per_class = classes.join(comp, "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("comp"))
     joined = rows.join(per_class, ["s1", "s2"], "left")
