@@ -68,7 +68,7 @@ def exact_duplicates(docs: DataFrame, index: DigestIndex | None = None) -> DataF
     index = index or DigestIndex(docs.sparkSession)
     index.append(docs)
     # By path, not by table: both sides are then shuffled, and a hot digest can be split over tasks.
-    found = docs.sparkSession.read.parquet(index.path).select("text_sha256", "keep_id", "group_size")
+    found = docs.sparkSession.read.schema("text_sha256 string, keep_id long, group_size long").parquet(index.path).select("text_sha256", "keep_id", "group_size")
     rows = digests(docs.select("doc_id", "text")).select("doc_id", "text_sha256")
     out = rows.join(found, "text_sha256")
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
