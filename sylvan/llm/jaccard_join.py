@@ -2,7 +2,7 @@
 
 Index: sets are ordered by (how common a shingle is, its hash) and only prefixes are indexed, as any linked pair shares a
 prefix shingle. A shingle's list is sorted by set size and cut into blocks; blocks and entries are skipped by size and by
-position, which bound the overlap. Answers: neighbours in a list that prove to be linked form a group whose answer is
+position, which bound the overlap, and pairs by narrow sketches that bound the difference. Answers: neighbours in a list that prove to be linked form a group whose answer is
 known, so a set's further partners are only sought outside its group (Wang et al. 2017, "Leveraging set relations in exact
 set similarity join"). What is left is verified with whole sets; no link is lost and no list is capped.
 """
@@ -25,6 +25,7 @@ from sylvan.llm.common import components, parts, written
 #: (they only set the order of indexing, so this bound loses nothing); count in an Arrow batch from which a
 #: shingle is counted; rounds that seek one partner a set before all are sought.
 WORDS, KEPT, BATCH, BLOCK, COMMON, OFTEN, ROUNDS = 5, 500_000, 4 << 20, 4096, 200_000, 4, 2
+NARROW = ["k0", "k1", "k2", "k3"]
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -62,11 +63,16 @@ class Shingler:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """Parity of the number of hashes in each of 2^k cells, 2^k about the set's size."""
-    cells = 1 << max(6, (len(s) - 1).bit_length())
+    """Parity of the number of hashes in each of 2^k cells, 2^k about the set's size, 256 at least."""
+    cells = 1 << max(8, (len(s) - 1).bit_length())
     return np.packbits((np.bincount((s & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
+def narrow(sketches: list[bytes]) -> np.ndarray:
+    """The sketches folded to 256 cells, as four words each: small enough to go with every entry of a list."""
+    return np.array([np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, 4)) for x in sketches], np.uint64).reshape(-1, 4)
+
+
 def sketch_distance(x: bytes, y: bytes) -> int:
     """A lower bound of the symmetric difference; the larger sketch is folded to the smaller one's cells."""
     x, y = (np.frombuffer(v, np.uint64) for v in (x, y))
@@ -94,7 +100,7 @@ def digests(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def summaries(docs: DataFrame) -> DataFrame:
-    """kind 0: doc_id, set size n, 128-bit digest (s1, s2) of the set and its sketch. kind 1: a shingle (as doc_id) and how
+    """kind 0: doc_id, set size n, 128-bit digest (s1, s2) of the set, its sketch, also narrow (k0 to k3). kind 1: a shingle (as doc_id) and how
     often it came in a batch of texts, where that is at least OFTEN."""
 
     def run(batches):
@@ -102,24 +108,28 @@ def summaries(docs: DataFrame) -> DataFrame:
         for b in batches:
             sets = [shingle(x) for _, texts in _texts(b, 1) for x in texts]
             s1, s2 = digests(sets)
+            wide = [sketch(s) for s in sets]
+            fold = narrow(wide)
             every = np.concatenate(sets)
             every.sort()
             at = np.append(np.flatnonzero(np.append(True, every[1:] != every[:-1])), len(every)) if len(every) else np.zeros(1, np.int64)
             n = np.diff(at)
             key, n = every[at[:-1][n >= OFTEN]], n[n >= OFTEN]
+            none = np.zeros(len(key), np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.repeat([0, 1], [len(sets), len(key)]).astype(np.int32)),
                     pa.concat_arrays([b.column(0), pa.array(signed(key))]),
                     pa.array(np.append([len(s) for s in sets], n).astype(np.int64)),
-                    pa.array(np.append(signed(s1), np.zeros(len(key), np.int64))),
-                    pa.array(np.append(signed(s2), np.zeros(len(key), np.int64))),
-                    pa.array([sketch(s) if len(s) else None for s in sets] + [None] * len(key), pa.binary()),
+                    pa.array(np.append(signed(s1), none)),
+                    pa.array(np.append(signed(s2), none)),
+                    pa.array([x if len(s) else None for x, s in zip(wide, sets, strict=True)] + [None] * len(key), pa.binary()),
+                    *(pa.array(np.append(signed(np.ascontiguousarray(fold[:, k])), none)) for k in range(4)),
                 ],
-                ["kind", "doc_id", "n", "s1", "s2", "sketch"],
+                ["kind", "doc_id", "n", "s1", "s2", "sketch", *NARROW],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "kind int, doc_id long, n long, s1 long, s2 long, sketch binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "kind int, doc_id long, n long, s1 long, s2 long, sketch binary, k0 long, k1 long, k2 long, k3 long")
 
 
 def prefixes(docs: DataFrame, common: np.ndarray) -> DataFrame:
@@ -203,8 +213,9 @@ def _lists(batches):
         yield emit(held, np.array([0]), np.array([len(held[0])]), np.array([True]))
 
 
-def outside(c1, c2, side, n, pos, doc, group, nearest=False):
+def outside(c1, c2, side, n, pos, doc, group, *fold, nearest=False):
     """Pairs of entries of a cell that pass the filters and are of different groups; entries sorted by (c1, c2, n, doc).
+    `fold` has the words of the narrow sketches.
 
     All cells are compared at once: each entry with the one `step` behind it, as long as sizes may still link.
     With `nearest`, only the first such pair of each entry.
@@ -224,6 +235,9 @@ def outside(c1, c2, side, n, pos, doc, group, nearest=False):
             break
         j = i + step
         ok = (group[i] != group[j]) & (~crossing[i] | (side[i] != side[j])) & may_link(n[i], pos[i], n[j], pos[j])
+        at = np.flatnonzero(ok)
+        differ = sum(np.bitwise_count(w[i[at]] ^ w[j[at]]).astype(np.int64) for w in fold)
+        ok[at] = differ <= n[i[at]] + n[j[at]] - 2 * overlap(n[i[at]], n[j[at]])
         a.append(doc[i[ok]])
         b.append(doc[j[ok]])
         if nearest:
@@ -242,7 +256,7 @@ def _outside(nearest, batches):
     held = None
 
     def found(cols):
-        got = outside(*cols, nearest)
+        got = outside(*cols[:7], *(c.view(np.uint64) for c in cols[7:]), nearest=nearest)
         return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], ["a", "b"])
 
     for b in batches:
@@ -317,6 +331,7 @@ def near_documents(docs: DataFrame) -> DataFrame:
     entries = entries.repartitionByRange(n_parts, "key", "n", "doc_id").sortWithinPartitions("key", "n", "doc_id")
     lists = written(entries.mapInArrow(_lists, "key long, block long, n long, doc_id long, pos int, prev long, open boolean"), "lists")
     sketches = rows.where("n > 0").join(reps, ["doc_id", "s1", "s2"], "left_semi").select("doc_id", "n", "sketch")
+    folded = rows.where("n > 0").join(reps, ["doc_id", "s1", "s2"], "left_semi").select("doc_id", "n", *NARROW).distinct()
 
     # Each set and the neighbour it shares most lists with.
     best = lists.where("prev IS NOT NULL").groupBy("doc_id", "prev").count().groupBy("doc_id").agg(F.max_by("prev", F.struct("count", "prev")).alias("prev"))
@@ -327,14 +342,14 @@ def near_documents(docs: DataFrame) -> DataFrame:
     x, y = blocks.alias("x"), blocks.alias("y")
     crossing = x.join(y, F.col("x.key") == F.col("y.key")).where("x.block < y.block AND 4 * y.low <= 5 * x.high AND 4 * x.low <= 5 * y.high").select(F.col("x.block").alias("c1"), F.col("y.block").alias("c2"))
     ends = written(crossing.select(F.col("c1").alias("block"), "c1", "c2", F.lit(0).alias("side")).unionByName(crossing.select(F.col("c2").alias("block"), "c1", "c2", F.lit(1).alias("side"))), "ends")
-    cols = ["c1", "c2", "side", "n", "pos", "doc_id", "grp"]
+    cols = ["c1", "c2", "side", "n", "pos", "doc_id", "grp", *NARROW]
     new, k, nearest = links, 0, True
     while nearest:
         # Partners outside the group: one a set while that finds links, so that groups grow together, in the end all.
         nearest, k = k < ROUNDS and not new.isEmpty(), k + 1
-        groups = components(links).withColumnRenamed("node", "doc_id")
-        e = lists.join(groups, "doc_id", "left").select("block", "n", "pos", "doc_id", F.coalesce("component", "doc_id").alias("grp"), "open")
-        cells = e.select(F.col("block").alias("c1"), F.col("block").alias("c2"), F.lit(0).alias("side"), "n", "pos", "doc_id", "grp").unionByName(e.where("open").join(ends, "block").select(*cols))
+        groups = folded.join(components(links).withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("grp"), *NARROW)
+        e = lists.select("block", "n", "pos", "doc_id", "open").join(groups, ["doc_id", "n"])
+        cells = e.select(F.col("block").alias("c1"), F.col("block").alias("c2"), F.lit(0).alias("side"), *cols[3:]).unionByName(e.where("open").join(ends, "block").select(*cols))
         more = cells.select(*cols).repartition(n_parts, "c1", "c2").sortWithinPartitions("c1", "c2", "n", "doc_id").mapInArrow(partial(_outside, nearest), "a long, b long")
         more = more.groupBy("a", "b").count().join(tried, ["a", "b"], "left_anti")
         if nearest:

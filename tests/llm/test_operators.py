@@ -226,3 +226,24 @@ def test_decoding_never_contradicts():
         nodes, _ = html_extract.parse(html_extract.generated_page(random.Random(seed)))
         chosen = html_extract.decode(nodes, model.log_odds(html_extract.features(nodes)))
         assert all(n.parent is None or id(n.parent) in chosen for n in nodes if id(n) in chosen)
+
+
+def test_jaccard_group_of_near_copies(spark):
+    rng = random.Random(3)
+    base = ["w" + str(rng.randrange(10**6)) for _ in range(150)]
+    rows = []
+    for i in range(120):
+        w = list(base)
+        for _ in range(i % 7):
+            w[rng.randrange(150)] = "n" + str(rng.randrange(10**6))
+        rows.append((i * 3 + 1, " ".join(w), None, None, None))
+    sets = {r[0]: {tuple(r[1].split()[k : k + 5]) for k in range(146)} for r in rows}
+    comp = {d: d for d in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                low, high = sorted((comp[a], comp[b]))
+                comp = {d: low if c == high else c for d, c in comp.items()}
+    got = jaccard_join.near_documents(spark.createDataFrame(rows, SCHEMA).repartition(5))
+    assert {r.doc_id: r.component_id for r in got.collect()} == comp
+    assert len(set(comp.values())) > 1
