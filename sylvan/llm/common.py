@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Edges that one task may hold at once (16 MB); up to that many are joined up in one step, more by star steps.
+HELD = 1_000_000
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -85,15 +87,28 @@ def _forest_rows(frames):
             yield pdf.iloc[:0].reindex(range(int(keep.sum()))).assign(a=nodes[keep], b=roots[keep])[["a", "b"]].astype("int64")
 
 
+def _forest_whole(frames):
+    """The edges of a task, HELD at most, replaced by the edges to their roots."""
+    held = [pdf for pdf in frames if len(pdf)]
+    if held:
+        nodes, roots = forest(np.concatenate([x["a"].to_numpy() for x in held]), np.concatenate([x["b"].to_numpy() for x in held]))
+        keep = nodes != roots
+        yield held[0].iloc[:0].reindex(range(int(keep.sum()))).assign(a=nodes[keep], b=roots[keep])[["a", "b"]].astype("int64")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a long, b long): rows (node, component), component the smallest node reachable.
 
-    Alternating large-star and small-star steps (Kiveris et al. 2014); each step is one aggregation and one join, each
-    round is written to the shared folder. Nothing is gathered on the driver but one count a round. Isolated nodes have
-    no edges and so no row. Hot centres: minima are pre-aggregated on the map side, and the joins may be split by AQE.
+    Up to HELD edges are joined up by one task, more by alternating large-star and small-star steps (Kiveris et al. 2014):
+    each step is one aggregation and one join, each round is written to the shared folder. Nothing is gathered on the
+    driver but one count a round. Isolated nodes have no edges and so no row. Hot centres: minima are pre-aggregated on
+    the map side, and the joins may be split by AQE.
     """
     e = written(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").mapInPandas(_forest_rows, "a long, b long").distinct(), "edges")
     state = None
+    if e.count() <= HELD:
+        e = written(e.coalesce(1).mapInPandas(_forest_whole, "a long, b long"), "star")
+        return _with_roots(e)
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
@@ -104,10 +119,15 @@ def components(edges: DataFrame) -> DataFrame:
         e = written(small, "star")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
-            return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+            return _with_roots(e)
         state = now
 
 
+def _with_roots(e: DataFrame) -> DataFrame:
+    """(node, component) of stars, their centres included."""
+    return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
 def with_component(ids: DataFrame, key: str, edges: DataFrame) -> DataFrame:
     """ids plus component_id: that of `edges`, or the key itself."""
     c = components(edges).withColumnRenamed("node", key)

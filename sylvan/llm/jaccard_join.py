@@ -322,16 +322,16 @@ def near_documents(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     both = written(summaries(docs), "summaries")
     rows = both.where("kind = 0")
-    top = both.where("kind = 1").groupBy("doc_id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "doc_id").limit(COMMON).toArrow()
-    common = top.column(0).to_numpy().astype(np.int64).view(np.uint64)[::-1]  # rare to common
+    top = written(both.where("kind = 1").groupBy("doc_id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "doc_id").limit(COMMON), "common").toArrow()
+    key, n = (top.column(k).to_numpy().astype(np.int64) for k in range(2))
+    common = key[np.lexsort((-key, n))].view(np.uint64)  # rare to common
     classes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
     reps = classes.select(F.col("rep").alias("doc_id"), "s1", "s2")
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     entries = prefixes(docs, common.copy()).join(reps, ["doc_id", "s1", "s2"]).select("doc_id", "n", F.posexplode("prefix").alias("pos", "key")).select("key", "n", "doc_id", F.col("pos").cast("long").alias("pos"))
     entries = entries.repartitionByRange(n_parts, "key", "n", "doc_id").sortWithinPartitions("key", "n", "doc_id")
     lists = written(entries.mapInArrow(_lists, "key long, block long, n long, doc_id long, pos int, prev long, open boolean"), "lists")
-    sketches = rows.where("n > 0").join(reps, ["doc_id", "s1", "s2"], "left_semi").select("doc_id", "n", "sketch")
-    folded = rows.where("n > 0").join(reps, ["doc_id", "s1", "s2"], "left_semi").select("doc_id", "n", *NARROW).distinct()
+    sketches = written(rows.where("n > 0").join(reps, ["doc_id", "s1", "s2"], "left_semi").select("doc_id", "n", "sketch", *NARROW).distinct(), "sketches")
 
     # Each set and the neighbour it shares most lists with.
     best = lists.where("prev IS NOT NULL").groupBy("doc_id", "prev").count().groupBy("doc_id").agg(F.max_by("prev", F.struct("count", "prev")).alias("prev"))
@@ -347,7 +347,7 @@ def near_documents(docs: DataFrame) -> DataFrame:
     while nearest:
         # Partners outside the group: one a set while that finds links, so that groups grow together, in the end all.
         nearest, k = k < ROUNDS and not new.isEmpty(), k + 1
-        groups = folded.join(components(links).withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("grp"), *NARROW)
+        groups = sketches.join(components(links).withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("grp"), *NARROW)
         e = lists.select("block", "n", "pos", "doc_id", "open").join(groups, ["doc_id", "n"])
         cells = e.select(F.col("block").alias("c1"), F.col("block").alias("c2"), F.lit(0).alias("side"), *cols[3:]).unionByName(e.where("open").join(ends, "block").select(*cols))
         more = cells.select(*cols).repartition(n_parts, "c1", "c2").sortWithinPartitions("c1", "c2", "n", "doc_id").mapInArrow(partial(_outside, nearest), "a long, b long")

@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from sylvan.llm import bpe, embedding_dedup, exact_dedup, html_extract, jaccard_join, nbsvm, packing, pii, quality, suffix_dedup, toxicity
+from sylvan.llm import bpe, common, embedding_dedup, exact_dedup, html_extract, jaccard_join, nbsvm, packing, pii, quality, suffix_dedup, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, keep_id long, a long"
 
@@ -247,3 +247,19 @@ def test_jaccard_group_of_near_copies(spark):
     got = jaccard_join.near_documents(spark.createDataFrame(rows, SCHEMA).repartition(5))
     assert {r.doc_id: r.component_id for r in got.collect()} == comp
     assert len(set(comp.values())) > 1
+
+
+def test_components_in_one_task_or_by_stars(spark, monkeypatch):
+    rng = random.Random(9)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(i, i + 1) for i in range(400, 460)] + [(7, 7)]
+    comp = {x: x for e in edges for x in e if e[0] != e[1]}
+    for _ in range(200):
+        for a, b in edges:
+            if a != b:
+                comp[a] = comp[b] = min(comp[a], comp[b])
+    df = spark.createDataFrame(edges, "a long, b long").repartition(4)
+    for most in (common.HELD, 0):
+        monkeypatch.setattr(common, "HELD", most)
+        got = common.components(df).collect()
+        assert len(got) == len(comp) and {r.node: r.component for r in got} == comp
+        assert common.components(df.where("a < 0")).count() == 0
