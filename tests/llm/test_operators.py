@@ -189,6 +189,60 @@ def test_disclosing_terms(spark):
     assert f"term:{at}:{at + 6}" in got[0] and got[150] == ""
 
 
+def test_terms_of_whole_documents(spark):
+    filler = "the details for all of them are here, please write " * 4
+    rows = [(i, filler) for i in range(200)]
+    # One document has the entity; one term stands far from it, others are known to three and ten documents.
+    rows[0] = (0, f"Quolmar {filler} a.b@ex.org {filler} quolmar threefold tenfold")
+    rows[1:3] = [(i, filler + "threefold") for i in (1, 2)]
+    rows[3:12] = [(i, filler + "tenfold") for i in range(3, 12)]
+    # Two texts have another entity.
+    rows[20:22] = [(i, f"zed@ex.org {filler} velmor number{i}") for i in (20, 21)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: {rows[r.doc_id][1][t.start : t.end].lower(): t.share for t in r.terms} for r in pii.spans(docs).collect()}
+    assert got[0]["quolmar"] == pytest.approx(1) and "tenfold" not in got[0] and "threefold" not in got[0]
+    assert got[20] == {"velmor": pytest.approx(1), "number20": pytest.approx(1)}
+    assert all(not got[i] for i in got if i not in (0, 20, 21))
+    assert "uolmar" not in {r.doc_id: r.text for r in pii.sanitised(docs).collect()}[0]
+
+
+def test_spans_equal_brute_force(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.choice((2, 3, 3, 3, 4))))
+    rows = []
+    for i in range(250):
+        w = [word() for _ in range(rng.randint(1, 150))]
+        for _ in range(rng.choice((0, 0, 1, 3))):
+            w[rng.randrange(len(w))] = f"m{rng.randrange(40)}@ex.org"
+        rows.append((i, " ".join(w)))
+    rows += [(300, rows[7][1]), (301, rows[7][1]), (None, rows[8][1]), (None, None)]
+    terms = lambda t: set(re.findall(r"[^\W_]{3,}", (t or "").lower()))
+    mails = lambda t: set(re.findall(r"m[0-9]+@ex\.org", t or ""))
+    n_t, n_e, n_b, n = collections.Counter(), collections.Counter(), collections.Counter(), len(rows)
+    for _, t in rows:
+        n_t.update(terms(t))
+        n_e.update(mails(t))
+        n_b.update((a, b) for a in terms(t) for b in mails(t))
+
+    def share(a, b):
+        k, x, y = n_b[a, b], n_t[a], n_e[b]
+        kl = lambda u, v: u * ((k / u) * np.log(k / u / (v / n)) + (k < u and (1 - k / u) * np.log((1 - k / u) / (1 - v / n))))
+        s = np.log2(k * n / (x * y)) / np.log2(n / y)
+        return s if s >= 0.8 and max(kl(x, y), kl(y, x)) >= -np.log(0.01) - 1e-9 else 0
+
+    found = 0
+    for r in pii.spans(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        text = next((t for i, t in rows if i == r.doc_id and (i is not None or len(r.email) == len(re.findall("@", t or "")))), None)
+        want = []
+        for m in re.finditer(r"[^\W_]{3,}", text or ""):
+            s = max((share(m[0], e) for e in mails(text)), default=0)
+            if s and not any(x.start < m.end() and m.start() < x.end for x in r.email):
+                want.append((m.start(), m.end(), pytest.approx(s)))
+        assert [tuple(x) for x in r.terms] == want
+        found += len(want)
+    assert found > 50
+
+
 def test_classifiers(spark):
     rng = random.Random(2)
     rows, labels = [], []
