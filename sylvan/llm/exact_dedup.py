@@ -9,11 +9,14 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sylvan.llm.common import ascii_lower, shared_dir
 
+INDEX = "text_sha256 string, keep_id long, group_size long"
+
 
 def digests(docs: DataFrame) -> DataFrame:
     """docs plus text_sha256: SHA-256 of the text with A-Z lower-cased. Null text counts as empty."""
@@ -21,9 +24,11 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 class DigestIndex:
-    """Digest index in a table of this session's warehouse, or by default in the shared folder.
+    """Digest index in the files at `path`, by default in the shared folder under a new name.
 
-    buckets is the number of hash buckets; at 100 TB use some thousands.
+    A path that holds an index, of whatever session, is attached to: its digests count and appends add to them. buckets is
+    the number of hash buckets of a new index; at 100 TB use some thousands. An index keeps the number it was made with, which
+    stands beside its files. Batches are appended one at a time.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 16):
@@ -31,13 +36,48 @@ class DigestIndex:
         self.path = path or f"{shared_dir(spark)}/digests-{uuid.uuid4().hex}"
         self.table = f"digests_{uuid.uuid4().hex}"
         self._exists = False
+        if path:
+            self._attach()
+
+    def _found(self, path: str, schema: str) -> DataFrame | None:
+        try:
+            return self.spark.read.schema(schema).parquet(path)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+
+    def _attach(self) -> None:
+        noted = self._found(f"{self.path}/_buckets", "buckets int")
+        if noted is not None:
+            self.buckets = noted.first()[0]
+            self._create()
+        elif self._found(self.path, INDEX) is not None:
+            # Made before the number was noted: `buckets` must be that of its making.
+            self._note()
+            self._create()
+
+    def _note(self) -> None:
+        # Hidden from readers of the path by its underscore.
+        self.spark.range(1).select(F.lit(self.buckets).alias("buckets")).coalesce(1).write.parquet(f"{self.path}/_buckets")
+
+    def _create(self) -> None:
+        """Name the files at path, so that appends add to them."""
+        place = self.path.replace("\\", "\\\\").replace("'", "\\'")
+        self.spark.sql(f"CREATE TABLE {self.table} ({INDEX}) USING parquet CLUSTERED BY (text_sha256) SORTED BY (text_sha256) INTO {self.buckets} BUCKETS LOCATION '{place}'")
+        self._exists = True
 
     def _write(self, rows: DataFrame) -> None:
-        (rows.write.mode("append").bucketBy(self.buckets, "text_sha256").sortBy("text_sha256").option("path", self.path).format("parquet").saveAsTable(self.table))
-        self._exists = True
+        if not self._exists:
+            self._note()
+            self._create()
+        (rows.write.mode("append").bucketBy(self.buckets, "text_sha256").sortBy("text_sha256").format("parquet").saveAsTable(self.table))
 
     def read(self) -> DataFrame | None:
-        return self.spark.table(self.table) if self._exists else None
+        if not self._exists:
+            return None
+        # Another object may have appended.
+        self.spark.catalog.refreshTable(self.table)
+        return self.spark.table(self.table)
 
     def new_digests(self, docs: DataFrame) -> DataFrame:
         """One row per digest of docs that the index lacks: text_sha256, keep_id (largest doc_id), group_size."""
@@ -68,7 +108,7 @@ def exact_duplicates(docs: DataFrame, index: DigestIndex | None = None) -> DataF
     index = index or DigestIndex(docs.sparkSession)
     index.append(docs)
     # By path, not by table: both sides are then shuffled, and a hot digest can be split over tasks.
-    found = docs.sparkSession.read.schema("text_sha256 string, keep_id long, group_size long").parquet(index.path).select("text_sha256", "keep_id", "group_size")
+    found = docs.sparkSession.read.schema(INDEX).parquet(index.path).select("text_sha256", "keep_id", "group_size")
     rows = digests(docs.select("doc_id", "text")).select("doc_id", "text_sha256")
     out = rows.join(found, "text_sha256")
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import shutil
 
 import numpy as np
 import public_tokenizers
@@ -73,6 +74,23 @@ def test_index_takes_new_texts_only(spark, docs):
     index.close()
 
 
+def test_index_is_taken_up_again(spark, tmp_path):
+    path, schema = f"{tmp_path}/it's an index", "doc_id long, text string"
+    first = exact_dedup.DigestIndex(spark, path, buckets=2)
+    assert first.append(spark.createDataFrame([(1, "a"), (2, "b")], schema)).count() == 2
+    first.close()
+    second = exact_dedup.DigestIndex(spark, path)
+    batch = spark.createDataFrame([(3, "A"), (4, "c")], schema)
+    assert [r.keep_id for r in second.new_digests(batch).collect()] == [4]
+    assert {r.doc_id: r.kept for r in exact_dedup.exact_duplicates(batch, second).collect()} == {3: False, 4: True}
+    third = exact_dedup.DigestIndex(spark, path, buckets=5)
+    assert sorted(r.keep_id for r in third.read().collect()) == [1, 2, 4] and third.buckets == 2
+    third.append(spark.createDataFrame([(5, "d")], schema))
+    assert sorted(r.keep_id for r in second.read().collect()) == [1, 2, 4, 5]
+    shutil.rmtree(f"{path}/_buckets")
+    assert exact_dedup.DigestIndex(spark, path, buckets=2).new_digests(batch).count() == 0
+
+
 def test_bpe(docs):
     from tokenizers import Tokenizer
 
