@@ -10,7 +10,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sylvan.llm.common import ascii_lower, shared_dir
@@ -115,7 +115,11 @@ def exact_duplicates(docs: DataFrame, index: DigestIndex | None = None) -> DataF
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
-    """docs without the rows that exact_duplicates() drops, all columns kept."""
-    own = [c for c in docs.columns]
-    gone = exact_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti").select(*own)
+    """docs without the rows that exact_duplicates() drops, all columns kept. Of kept rows that repeat doc_id one stays, that
+    with the smallest text."""
+    index = DigestIndex(docs.sparkSession)
+    kept = index.append(docs).select(F.col("text_sha256").alias("__kept"), F.coalesce("keep_id", F.lit(0)).alias("__id"), F.isnull("keep_id").alias("__null"))
+    # A null doc_id equals a null one; both sides of the join and the window are dealt by the same keys.
+    rows = digests(docs).select(*docs.columns, F.col("text_sha256").alias("__h"), F.coalesce("doc_id", F.lit(0)).alias("__d"), F.isnull("doc_id").alias("__n"))
+    rows = rows.join(kept, (F.col("__h") == F.col("__kept")) & (F.col("__d") == F.col("__id")) & (F.col("__n") == F.col("__null")), "left_semi")
+    return rows.withColumn("__i", F.row_number().over(Window.partitionBy("__h", "__d", "__n").orderBy("text"))).where("__i = 1").select(*docs.columns)

@@ -66,6 +66,12 @@ def test_exact(docs):
     assert exact_dedup.without_copies(docs).columns == docs.columns
 
 
+def test_rows_without_copies(spark):
+    rows = [(5, "A"), (5, "B"), (9, "A"), (None, "C"), (7, "C"), (3, "D"), (3, "D"), (None, "E"), (None, "E"), (None, None), (0, "F"), (None, "f")]
+    got = exact_dedup.without_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert collections.Counter(map(tuple, got)) == collections.Counter([(5, "B"), (9, "A"), (7, "C"), (3, "D"), (None, "E"), (None, None), (0, "F")])
+
+
 def test_index_takes_new_texts_only(spark, docs):
     index = exact_dedup.DigestIndex(spark, buckets=2)
     n = index.append(docs).count()
