@@ -115,7 +115,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, most_rows: int
     """Text and label of a bounded sample of the labelled rows that may be learnt from (crc32(doc_id) mod 3 is not 1).
 
     The share kept is set so that about most_rows rows and about most_chars characters are expected; rows are chosen by a
-    hash of doc_id. Null labels are left out, null text is empty, labels other than 0 and 1 are left out.
+    hash of doc_id. Null labels are left out, null text is empty, labels other than 0 and 1 are left out. Texts of more than
+    a twentieth of most_chars are not learnt from, so that a few long ones do not displace the others.
     """
     y = F.col(label)
     may = labels.where(F.col("doc_id").isNotNull() & y.isin(0, 1) & (F.crc32(F.col("doc_id").cast("string")) % 3 != 1))
@@ -123,7 +124,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, most_rows: int
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     sample = may.where(place < int(share * (1 << 30))).groupBy("doc_id").agg(F.max(y).cast("int").alias("__y"))
     # About most_rows rows, so fit to be sent to every task: the texts are not shuffled.
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.char_length("text") <= most_chars // 20).join(F.broadcast(sample), "doc_id")
     size = sorted((r[1], r[0], r[2]) for r in rows.groupBy("doc_id").agg(F.first(place), F.max(F.char_length("text"))).collect())
     chars = np.cumsum([x[2] for x in size])
     below = size[int(np.searchsorted(chars, most_chars, side="right"))][0] if len(size) and chars[-1] > most_chars else 1 << 30

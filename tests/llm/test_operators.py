@@ -285,6 +285,17 @@ def test_classifiers(spark):
         assert out.count() == len(rows) + 2 and out.where("score < 0 OR score > 1 OR score IS NULL").count() == 0
 
 
+def test_a_huge_text_does_not_empty_the_sample(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    small = spark.createDataFrame([(i, f"text {i}") for i in range(60)], "doc_id long, text string")
+    most, _ = nbsvm.training_rows(small, labels, "toxic", 1000, 5000)
+    # Wherever its hash stands, the long text alone is passed over.
+    first = small.where(F.col("text").isin(most)).orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))).first()
+    docs = small.withColumn("text", F.when(F.col("doc_id") == first.doc_id, F.repeat(F.lit("x"), 6000)).otherwise(F.col("text")))
+    got, y = nbsvm.training_rows(docs, labels, "toxic", 1000, 5000)
+    assert sorted(got) == sorted(t for t in most if t != first.text) and len(y) == len(got) > 20
+
+
 def test_dual_descent_separates():
     rows = [np.array([0, 1]), np.array([0, 2]), np.array([3, 1]), np.array([3, 2])] * 5
     m = nbsvm.fit(rows, np.array([1, 1, 0, 0] * 5), 4, cost=1.0)
