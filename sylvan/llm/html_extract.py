@@ -8,6 +8,7 @@ label, so the trees are trained on generated pages whose main text is known.
 
 from __future__ import annotations
 
+import collections
 import functools
 import html
 import math
@@ -174,10 +175,13 @@ def features(nodes: list[Node]) -> np.ndarray:
     page = nodes[0].total + 1
     out = np.zeros((len(nodes), 14 + 2 * len(TAG_GROUPS) + 2 * len(TOKEN_GROUPS)), np.float32)
     above: dict[Node, tuple[frozenset, frozenset]] = {}
+    tags_in: dict[Node | None, collections.Counter] = {}
     for row, n in zip(out, nodes, strict=True):
         p = n.parent
         kin = p.children if p else [n]
-        same = sum(k.tag == n.tag for k in kin) if len(kin) < 200 else len(kin)
+        if p not in tags_in:
+            tags_in[p] = collections.Counter(k.tag for k in kin)
+        same = tags_in[p][n.tag]
         around = (p.total - p.own) / len(kin) if p else n.total
         row[:14] = (
             n.depth, math.log1p(n.total), n.total_links / (n.total + 1), math.log1p(n.size), n.total / n.size, math.log1p(n.own), len(kin), same / len(kin),

@@ -296,6 +296,13 @@ def test_a_huge_text_does_not_empty_the_sample(spark):
     assert sorted(got) == sorted(t for t in most if t != first.text) and len(y) == len(got) > 20
 
 
+def test_tags_of_many_siblings_are_counted():
+    root = html_extract.Node("body", None)
+    nodes = [root, *(html_extract.Node("aside" if i == 7 else "p", root) for i in range(250))]
+    share = html_extract.features(nodes)[:, 7]
+    assert share[0] == 1 and share[8] == np.float32(1 / 250) and share[1] == np.float32(249 / 250)
+
+
 def test_dual_descent_separates():
     rows = [np.array([0, 1]), np.array([0, 2]), np.array([3, 1]), np.array([3, 2])] * 5
     m = nbsvm.fit(rows, np.array([1, 1, 0, 0] * 5), 4, cost=1.0)
