@@ -303,6 +303,11 @@ def test_tags_of_many_siblings_are_counted():
     assert share[0] == 1 and share[8] == np.float32(1 / 250) and share[1] == np.float32(249 / 250)
 
 
+def test_formulas_are_text():
+    _, runs = html_extract.parse("<html><body><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold.</p></body></html>")
+    assert "Let x=2 hold." in str(runs)
+
+
 def test_dual_descent_separates():
     rows = [np.array([0, 1]), np.array([0, 2]), np.array([3, 1]), np.array([3, 2])] * 5
     m = nbsvm.fit(rows, np.array([1, 1, 0, 0] * 5), 4, cost=1.0)
