@@ -8,7 +8,6 @@ once. Encoded chunks are kept in a bounded table per worker.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import json
 import re
@@ -19,7 +18,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from sylvan.llm.common import parts
+from sylvan.llm.common import parts, resident
 
 #: Unicode white space, and the pattern of the byte-level vocabulary written with it.
 WS = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -152,11 +151,6 @@ class ByteBPE:
         return b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
-@functools.lru_cache(2)
-def tokenizer(spec: str) -> ByteBPE:
-    return ByteBPE(spec)
-
-
 def encoded(docs: DataFrame, vocabulary: str, with_ids: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if with_ids, ids array<int> of every row of docs.
 
@@ -167,7 +161,7 @@ def encoded(docs: DataFrame, vocabulary: str, with_ids: bool = True) -> DataFram
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches):
-        t = tokenizer(spec.value)
+        t = resident(("bpe", spec.value), lambda: ByteBPE(spec.value))
         for b in batches:
             ids_col, texts = b.column(0), b.column(1)
             size, sha, back, all_ids = [], [], [], []

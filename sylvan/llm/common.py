@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,16 +22,34 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a folder of our own only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
+    """The folder that the driver and all executors share. Where none is set, a temporary one if Spark runs in one process;
+    on a cluster a machine's own folder would lose rows, so there it is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sylvan-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
+_kept: dict = {}
+
+
+def resident(key, make):
+    """make(), kept for the tasks that this Python worker runs next. A worker keeps one such table: that of another key goes
+    first and its memory back to the system, so that stages which follow each other don't add up."""
+    if key not in _kept:
+        _kept.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+        _kept[key] = make()
+    return _kept[key]
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Write df once to the shared folder and read it back: a lineage cut that survives lost executors."""
     spark = df.sparkSession

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sylvan.llm.common import components, parts, written
+from sylvan.llm.common import components, parts, resident, written
 
 #: Words of a shingle; hashes kept per worker; text handled at a time; entries of a block; common shingles told apart
 #: (they only set the order of indexing, so this bound loses nothing); count in an Arrow batch from which a
@@ -104,7 +104,7 @@ def summaries(docs: DataFrame) -> DataFrame:
     often it came in a batch of texts, where that is at least OFTEN."""
 
     def run(batches):
-        shingle = Shingler()
+        shingle = resident(Shingler, Shingler)
         for b in batches:
             sets = [shingle(x) for _, texts in _texts(b, 1) for x in texts]
             s1, s2 = digests(sets)
@@ -137,7 +137,7 @@ def prefixes(docs: DataFrame, common: np.ndarray) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches):
-        shingle, by_hash = Shingler(), np.sort(sent.value)
+        shingle, by_hash = resident(Shingler, Shingler), np.sort(sent.value)
         rank = np.argsort(sent.value, kind="stable")
         mask, maybe = np.uint64((1 << 23) - 1), np.zeros(1 << 23, bool)
         maybe[(by_hash & mask).astype(np.int64)] = True
@@ -285,7 +285,7 @@ def verified(pairs: DataFrame, docs: DataFrame, sketches: DataFrame) -> DataFram
     left = written(pairs.join(sa, "a").join(sb, "b").mapInPandas(near, "a long, b long").distinct(), "pairs")
 
     def whole(batches):
-        shingle = Shingler()
+        shingle = resident(Shingler, Shingler)
         for b in batches:
             ids = b.column(0).to_pylist()
             for i, texts in _texts(b, 1):

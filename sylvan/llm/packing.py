@@ -10,7 +10,6 @@ so a monotone queue over f(j) + p(j) gives each transition in amortised constant
 
 from __future__ import annotations
 
-import functools
 import operator
 import os
 import re
@@ -23,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from sylvan.llm.common import parts
+from sylvan.llm.common import parts, resident
 
 END_ID = 2
 #: Tokens of padding that a cut is worth: at a sentence's end, elsewhere in a document.
@@ -31,8 +30,8 @@ SENTENCE, HARD = 8, 32
 #: Least tokens between two sentence cuts; stretches of over 2 * STEP tokens without a cut get one every STEP.
 GAP, STEP = 32, 64
 #: Tokens that a task holds before it settles windows, and chunks kept per worker.
-HELD, KEPT = 1 << 20, 1_000_000
-BATCH = 16 << 20
+HELD, KEPT = 1 << 20, 300_000
+BATCH = 4 << 20
 #: str.split() also splits at these, which the tokenizer treats as text.
 PUNCTUATION, LATIN = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~", re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 MARK = "\0"
@@ -104,11 +103,6 @@ class WordCodec:
         return out
 
 
-@functools.lru_cache(2)
-def codec(spec: str) -> WordCodec:
-    return WordCodec(spec)
-
-
 def cut_windows(position: list[int], penalty: list[int], window: int) -> list[int]:
     """Best cuts, as indexes of `position` from the first to the last; neighbours must be at most `window` apart."""
     g, back, queue = [position[0]], [0], deque([0])
@@ -214,7 +208,7 @@ def packed(docs: DataFrame, vocabulary: str, window: int = 4096, with_ids: bool
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches):
-        c = codec(spec.value)
+        c = resident(("packing", spec.value), lambda: WordCodec(spec.value))
         packer = Packer(c.ends_sentence, window)
         number = TaskContext.get().partitionId() << 33
         known: dict[int, tuple] = {}  # open documents: doc_id, tokens

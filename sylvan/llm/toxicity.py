@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sylvan.llm import nbsvm
-from sylvan.llm.common import parts
+from sylvan.llm.common import parts, resident
 
 #: n-gram lengths in characters, hashed cells, words kept per worker, training bounds (rows, characters), threshold.
 LENGTHS, BITS, KEPT = (3, 4, 5), 18, 150_000
@@ -77,7 +77,7 @@ def scored(docs: DataFrame, model: nbsvm.LinearModel, features, threshold: float
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        f, m = features(), sent.value
+        f, m = resident(features, features), sent.value
         for b in batches:
             texts, score = b.column(2), []
             for i, j in parts(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), BATCH):
@@ -109,7 +109,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
 
     def run(batches):
-        f, m = Features(), sent.value
+        f, m = resident(Features, Features), sent.value
         for b in batches:
             texts, keep = b.column(b.schema.get_field_index("text")), []
             for i, j in parts(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), BATCH):
