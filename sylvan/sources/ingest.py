@@ -15,9 +15,11 @@ def cut(df: DataFrame, tag: str = "cut") -> DataFrame:
     """df written to the folder that driver and executors share, and read back; survives lost executors."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
+    if not folder and spark.sparkContext.master.split("[")[0] == "local":
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sylvan-"))
         folder = spark.sparkContext.getCheckpointDir()
+    if not folder:
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     path = f"{folder.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
