@@ -2,7 +2,8 @@
 
 Index: sets are ordered by (how common a shingle is, its hash) and only prefixes are indexed, as any linked pair shares a
 prefix shingle. A shingle's list is sorted by set size and cut into blocks; blocks and entries are skipped by size and by
-position, which bound the overlap, and pairs by narrow sketches that bound the difference. Answers: neighbours in a list that prove to be linked form a group whose answer is
+position, which bound the overlap, and pairs by narrow sketches that bound the difference. A pair that meets in many lists
+is given in one of them, which both sets' marks name. Answers: neighbours in a list that prove to be linked form a group whose answer is
 known, so a set's further partners are only sought outside its group (Wang et al. 2017, "Leveraging set relations in exact
 set similarity join"). What is left is verified with whole sets; no link is lost and no list is capped.
 """
@@ -25,7 +26,7 @@ from sylvan.llm.common import components, parts, resident, written
 #: (they only set the order of indexing, so this bound loses nothing); count in an Arrow batch from which a
 #: shingle is counted; rounds that seek one partner a set before all are sought.
 WORDS, KEPT, BATCH, BLOCK, COMMON, OFTEN, ROUNDS = 5, 500_000, 4 << 20, 4096, 200_000, 4, 2
-NARROW = ["k0", "k1", "k2", "k3"]
+NARROW, MARKS = ["k0", "k1", "k2", "k3"], ["m0", "m1", "m2", "m3"]
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -165,8 +166,13 @@ def prefixes(docs: DataFrame, common: np.ndarray) -> DataFrame:
 
 
 def may_link(nx, px, ny, py):
-    """Size, index-prefix and position filters for entries x and y of a list with nx <= ny."""
-    return (4 * ny <= 5 * nx) & (px < nx - (8 * nx + 8) // 9 + 1) & (np.minimum(px, py) + 1 + np.minimum(nx - px, ny - py) - 1 >= overlap(nx, ny))
+    """Size and position filters for entries x and y of a list with nx <= ny: linked sets pass in every list that both are in."""
+    return (4 * ny <= 5 * nx) & (np.minimum(px, py) + 1 + np.minimum(nx - px, ny - py) - 1 >= overlap(nx, ny))
+
+
+def indexed(nx, px):
+    """Whether the place is in the smaller set's index prefix: linked sets meet in at least one list where it is."""
+    return px < nx - (8 * nx + 8) // 9 + 1
 
 
 def _lists(batches):
@@ -183,7 +189,7 @@ def _lists(batches):
         new[np.cumsum(size)[:-1]] = new[0] = True
         prev = np.append(doc[:1], doc[:-1])
         ok = ~new
-        ok[1:] &= may_link(n[:-1], pos[:-1], n[1:], pos[1:]) & (doc[1:] != doc[:-1])
+        ok[1:] &= may_link(n[:-1], pos[:-1], n[1:], pos[1:]) & indexed(n[:-1], pos[:-1]) & (doc[1:] != doc[:-1])
         block = part + number + np.repeat(np.arange(len(size)), size)
         number += len(size)
         return pa.RecordBatch.from_arrays([pa.array(key), pa.array(block), pa.array(n), pa.array(doc), pa.array(pos.astype(np.int32)), pa.array(prev, mask=~ok), pa.array(np.repeat(is_open, size))], ["key", "block", "n", "doc_id", "pos", "prev", "open"])
@@ -213,12 +219,13 @@ def _lists(batches):
         yield emit(held, np.array([0]), np.array([len(held[0])]), np.array([True]))
 
 
-def outside(c1, c2, side, n, pos, doc, group, *fold, nearest=False):
+def outside(c1, c2, side, n, pos, doc, group, key, fold, marks, nearest=False):
     """Pairs of entries of a cell that pass the filters and are of different groups; entries sorted by (c1, c2, n, doc).
-    `fold` has the words of the narrow sketches.
+    `fold` has the words of the narrow sketches, `marks` some keys of each set.
 
-    All cells are compared at once: each entry with the one `step` behind it, as long as sizes may still link.
-    With `nearest`, only the first such pair of each entry.
+    All cells are compared at once: each entry with the one `step` behind it, as long as sizes may still link. A pair with a
+    mark in common is given in the list of the first such mark only, where both sets are, other pairs in all lists.
+    With `nearest`, only the first pair of each entry. Rows are (low, high, bits in which the narrow sketches differ).
     """
     new = np.append(True, (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1]))
     begins = np.flatnonzero(new)
@@ -227,6 +234,7 @@ def outside(c1, c2, side, n, pos, doc, group, *fold, nearest=False):
     crossing = np.repeat(np.maximum.reduceat(side, begins) > 0, size)
     end = np.repeat(begins + size, size)
     i, step, a, b = np.flatnonzero(np.repeat(mixed, size)), 0, [], []
+    apart = []
     while True:
         step += 1
         i = i[i + step < end[i]]
@@ -236,19 +244,25 @@ def outside(c1, c2, side, n, pos, doc, group, *fold, nearest=False):
         j = i + step
         ok = (group[i] != group[j]) & (~crossing[i] | (side[i] != side[j])) & may_link(n[i], pos[i], n[j], pos[j])
         at = np.flatnonzero(ok)
+        here = indexed(n[i[at]], pos[i[at]])
+        for m in marks[::-1]:
+            here = np.where(m[i[at]] == m[j[at]], m[i[at]] == key[i[at]], here)
+        ok[at] = here
+        at = at[here]
         differ = sum(np.bitwise_count(w[i[at]] ^ w[j[at]]).astype(np.int64) for w in fold)
-        ok[at] = differ <= n[i[at]] + n[j[at]] - 2 * overlap(n[i[at]], n[j[at]])
+        ok[at] = close = differ <= n[i[at]] + n[j[at]] - 2 * overlap(n[i[at]], n[j[at]])
+        apart.append(differ[close])
         a.append(doc[i[ok]])
         b.append(doc[j[ok]])
         if nearest:
             i = i[~ok]
     if not a:
-        return np.zeros((0, 2), np.int64)
-    a, b = np.concatenate(a), np.concatenate(b)
+        return np.zeros((0, 3), np.int64)
+    a, b, apart = np.concatenate(a), np.concatenate(b), np.concatenate(apart)
     low, high = np.minimum(a, b), np.maximum(a, b)
     order = np.lexsort((high, low))
-    low, high = low[order], high[order]
-    return np.stack([low, high], 1)[nearest | np.append(True, (low[1:] != low[:-1]) | (high[1:] != high[:-1]))[: len(low)]]
+    low, high, apart = low[order], high[order], apart[order]
+    return np.stack([low, high, apart], 1)[np.append(True, (low[1:] != low[:-1]) | (high[1:] != high[:-1]))[: len(low)]]
 
 
 def _outside(nearest, batches):
@@ -256,8 +270,8 @@ def _outside(nearest, batches):
     held = None
 
     def found(cols):
-        got = outside(*cols[:7], *(c.view(np.uint64) for c in cols[7:]), nearest=nearest)
-        return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], ["a", "b"])
+        got = outside(*cols[:8], [c.view(np.uint64) for c in cols[8 : 8 + len(NARROW)]], cols[8 + len(NARROW) :], nearest=nearest)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(got[:, k])) for k in range(3)], ["a", "b", "apart"])
 
     for b in batches:
         if not b.num_rows:
@@ -331,7 +345,11 @@ def near_documents(docs: DataFrame) -> DataFrame:
     entries = prefixes(docs, common.copy()).join(reps, ["doc_id", "s1", "s2"]).select("doc_id", "n", F.posexplode("prefix").alias("pos", "key")).select("key", "n", "doc_id", F.col("pos").cast("long").alias("pos"))
     entries = entries.repartitionByRange(n_parts, "key", "n", "doc_id").sortWithinPartitions("key", "n", "doc_id")
     lists = written(entries.mapInArrow(_lists, "key long, block long, n long, doc_id long, pos int, prev long, open boolean"), "lists")
-    sketches = written(rows.where("n > 0").join(reps, ["doc_id", "s1", "s2"], "left_semi").select("doc_id", "n", "sketch", *NARROW).distinct(), "sketches")
+    # Four keys of each set by the smallest of four hashes; none that would be of use where rows of a doc_id differ.
+    marks = lists.groupBy("doc_id", "n").agg(*(F.min_by("key", F.xxhash64("key", F.lit(t))).alias(m) for t, m in enumerate(MARKS)))
+    marks = marks.join(reps.groupBy("doc_id").count().where("count > 1"), "doc_id", "left_anti")
+    own = rows.where("n > 0").join(reps, ["doc_id", "s1", "s2"], "left_semi").select("doc_id", "n", "sketch", *NARROW).distinct().join(marks, ["doc_id", "n"], "left")
+    sketches = written(own.withColumns({m: F.coalesce(m, F.xxhash64("doc_id", F.lit(t))) for t, m in enumerate(MARKS)}), "sketches")
 
     # Each set and the neighbour it shares most lists with.
     best = lists.where("prev IS NOT NULL").groupBy("doc_id", "prev").count().groupBy("doc_id").agg(F.max_by("prev", F.struct("count", "prev")).alias("prev"))
@@ -342,18 +360,18 @@ def near_documents(docs: DataFrame) -> DataFrame:
     x, y = blocks.alias("x"), blocks.alias("y")
     crossing = x.join(y, F.col("x.key") == F.col("y.key")).where("x.block < y.block AND 4 * y.low <= 5 * x.high AND 4 * x.low <= 5 * y.high").select(F.col("x.block").alias("c1"), F.col("y.block").alias("c2"))
     ends = written(crossing.select(F.col("c1").alias("block"), "c1", "c2", F.lit(0).alias("side")).unionByName(crossing.select(F.col("c2").alias("block"), "c1", "c2", F.lit(1).alias("side"))), "ends")
-    cols = ["c1", "c2", "side", "n", "pos", "doc_id", "grp", *NARROW]
+    cols = ["c1", "c2", "side", "n", "pos", "doc_id", "grp", "key", *NARROW, *MARKS]
     new, k, nearest = links, 0, True
     while nearest:
         # Partners outside the group: one a set while that finds links, so that groups grow together, in the end all.
         nearest, k = k < ROUNDS and not new.isEmpty(), k + 1
-        groups = sketches.join(components(links).withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("grp"), *NARROW)
-        e = lists.select("block", "n", "pos", "doc_id", "open").join(groups, ["doc_id", "n"])
+        groups = sketches.join(components(links).withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("grp"), *NARROW, *MARKS)
+        e = lists.select("block", "n", "pos", "doc_id", "key", "open").join(groups, ["doc_id", "n"])
         cells = e.select(F.col("block").alias("c1"), F.col("block").alias("c2"), F.lit(0).alias("side"), *cols[3:]).unionByName(e.where("open").join(ends, "block").select(*cols))
-        more = cells.select(*cols).repartition(n_parts, "c1", "c2").sortWithinPartitions("c1", "c2", "n", "doc_id").mapInArrow(partial(_outside, nearest), "a long, b long")
-        more = more.groupBy("a", "b").count().join(tried, ["a", "b"], "left_anti")
+        more = cells.select(*cols).repartition(n_parts, "c1", "c2").sortWithinPartitions("c1", "c2", "n", "doc_id").mapInArrow(partial(_outside, nearest), "a long, b long, apart long")
+        more = more.groupBy("a", "b").agg(F.min("apart").alias("apart")).join(tried, ["a", "b"], "left_anti")
         if nearest:
-            more = more.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a"))
+            more = more.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a"))
         more = written(more.select("a", "b"), "more")
         tried = tried.unionByName(more)
         new = written(verified(more, docs, sketches), "links")
