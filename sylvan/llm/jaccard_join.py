@@ -25,7 +25,7 @@ from sylvan.llm.common import components, parts, resident, written
 #: Words of a shingle; hashes kept per worker; text handled at a time; entries of a block; common shingles told apart
 #: (they only set the order of indexing, so this bound loses nothing); count in an Arrow batch from which a
 #: shingle is counted; rounds that seek one partner a set before all are sought.
-WORDS, KEPT, BATCH, BLOCK, COMMON, OFTEN, ROUNDS = 5, 500_000, 4 << 20, 4096, 200_000, 4, 2
+WORDS, KEPT, BATCH, BLOCK, COMMON, OFTEN, ROUNDS = 5, 250_000, 4 << 20, 4096, 200_000, 4, 2
 NARROW, MARKS = ["k0", "k1", "k2", "k3"], ["m0", "m1", "m2", "m3"]
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -383,7 +383,11 @@ def near_documents(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component: the row whose doc_id is the component's smallest. All columns kept."""
+    """docs with one document of each component: the row whose doc_id is the component's smallest. All columns kept.
+
+    Rows without words, with null text or with a null doc_id are linked with nothing and stay, as do all rows that repeat the
+    smallest doc_id. An empty table stays empty.
+    """
     own = docs.columns
     gone = near_documents(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti").select(*own)

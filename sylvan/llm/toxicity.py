@@ -105,7 +105,11 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the rows whose score reaches THRESHOLD, all columns kept; the score is computed beside the row."""
+    """docs without the rows whose score reaches THRESHOLD, all columns kept; the score is computed beside the row.
+
+    Null and empty texts have the score of the bias alone. Repeated rows and null doc_ids are judged like others, by text
+    only. A score at the threshold goes. An empty table stays empty; without labels of both kinds all rows have one score.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
 
     def run(batches):

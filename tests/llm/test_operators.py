@@ -91,8 +91,10 @@ def test_index_is_taken_up_again(spark, tmp_path):
     assert {r.doc_id: r.kept for r in exact_dedup.exact_duplicates(batch, second).collect()} == {3: False, 4: True}
     third = exact_dedup.DigestIndex(spark, path, buckets=5)
     assert sorted(r.keep_id for r in third.read().collect()) == [1, 2, 4] and third.buckets == 2
-    third.append(spark.createDataFrame([(5, "d")], schema))
-    assert sorted(r.keep_id for r in second.read().collect()) == [1, 2, 4, 5]
+    assert {r.keep_id: r.group_size for r in third.read().collect()} == {1: 2, 2: 1, 4: 1}
+    third.append(spark.createDataFrame([(5, "d"), (6, "d"), (7, "a"), (8, "C"), (None, "c")], schema))
+    assert {r.keep_id: r.group_size for r in second.read().collect()} == {1: 3, 2: 1, 4: 3, 6: 2}
+    assert sorted(r.keep_id for r in second.read().collect()) == [1, 2, 4, 6]
     shutil.rmtree(f"{path}/_buckets")
     assert exact_dedup.DigestIndex(spark, path, buckets=2).new_digests(batch).count() == 0
 
