@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from sylvan.llm.common import parts, resident
+from sylvan.llm.common import lean, parts, resident
 
 #: Unicode white space, and the pattern of the byte-level vocabulary written with it.
 WS = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -179,4 +179,4 @@ def encoded(docs: DataFrame, vocabulary: str, with_ids: bool = True) -> DataFram
             yield pa.RecordBatch.from_pydict(cols)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(lean(run, keeps=True), schema)

@@ -36,20 +36,42 @@ def shared_dir(spark: SparkSession) -> str:
 _kept: dict = {}
 
 
+def released() -> None:
+    """Give free memory back to the system; the allocators of a reused Python worker would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def resident(key, make):
     """make(), kept for the tasks that this Python worker runs next. A worker keeps one such table: that of another key goes
     first and its memory back to the system, so that stages which follow each other don't add up."""
     if key not in _kept:
         _kept.clear()
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim:
-            trim(0)
+        released()
         _kept[key] = make()
     return _kept[key]
 
 
+def lean(run, keeps: bool = False):
+    """run as a function for mapInArrow whose tasks leave small workers behind: resident tables go first unless it keeps one, and
+    free memory goes back at the end."""
+
+    def task(batches):
+        if not keeps and _kept:
+            _kept.clear()
+            released()
+        try:
+            yield from run(batches)
+        finally:
+            released()
+
+    task.__name__ = getattr(run, "func", run).__name__
+    return task
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Write df once to the shared folder and read it back: a lineage cut that survives lost executors."""
     spark = df.sparkSession

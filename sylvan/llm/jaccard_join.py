@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sylvan.llm.common import components, parts, resident, written
+from sylvan.llm.common import components, lean, parts, written
 
 #: Words of a shingle; hashes kept per worker; text handled at a time; entries of a block; common shingles told apart
 #: (they only set the order of indexing, so this bound loses nothing); count in an Arrow batch from which a
@@ -105,32 +105,39 @@ def summaries(docs: DataFrame) -> DataFrame:
     often it came in a batch of texts, where that is at least OFTEN."""
 
     def run(batches):
-        shingle = resident(Shingler, Shingler)
+        shingle = Shingler()
         for b in batches:
-            sets = [shingle(x) for _, texts in _texts(b, 1) for x in texts]
-            s1, s2 = digests(sets)
-            wide = [sketch(s) for s in sets]
+            size, s1, s2, wide, every = [], [], [], [], []
+            for _, texts in _texts(b, 1):
+                sets = [shingle(x) for x in texts]
+                size += map(len, sets)
+                for to, x in zip((s1, s2), digests(sets), strict=True):
+                    to.append(x)
+                wide += [sketch(s) for s in sets]
+                every.append(np.concatenate(sets))
+            s1, s2, every = (np.concatenate([np.zeros(0, np.uint64), *x]) for x in (s1, s2, every))
             fold = narrow(wide)
-            every = np.concatenate(sets)
             every.sort()
-            at = np.append(np.flatnonzero(np.append(True, every[1:] != every[:-1])), len(every)) if len(every) else np.zeros(1, np.int64)
-            n = np.diff(at)
-            key, n = every[at[:-1][n >= OFTEN]], n[n >= OFTEN]
+            # A key that stands OFTEN times is at the place OFTEN - 1 behind its first one.
+            first = np.flatnonzero(np.append(True, every[1:] != every[:-1])[: len(every)] & np.append(every[OFTEN - 1 :] == every[: len(every) - OFTEN + 1], np.zeros(OFTEN - 1, bool))[: len(every)])
+            key = every[first]
+            n = np.searchsorted(every, key, side="right") - first
+            del every
             none = np.zeros(len(key), np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.repeat([0, 1], [len(sets), len(key)]).astype(np.int32)),
+                    pa.array(np.repeat([0, 1], [len(size), len(key)]).astype(np.int32)),
                     pa.concat_arrays([b.column(0), pa.array(signed(key))]),
-                    pa.array(np.append([len(s) for s in sets], n).astype(np.int64)),
+                    pa.array(np.append(size, n).astype(np.int64)),
                     pa.array(np.append(signed(s1), none)),
                     pa.array(np.append(signed(s2), none)),
-                    pa.array([x if len(s) else None for x, s in zip(wide, sets, strict=True)] + [None] * len(key), pa.binary()),
+                    pa.array([x if s else None for x, s in zip(wide, size, strict=True)] + [None] * len(key), pa.binary()),
                     *(pa.array(np.append(signed(np.ascontiguousarray(fold[:, k])), none)) for k in range(4)),
                 ],
                 ["kind", "doc_id", "n", "s1", "s2", "sketch", *NARROW],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "kind int, doc_id long, n long, s1 long, s2 long, sketch binary, k0 long, k1 long, k2 long, k3 long")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "kind int, doc_id long, n long, s1 long, s2 long, sketch binary, k0 long, k1 long, k2 long, k3 long")
 
 
 def prefixes(docs: DataFrame, common: np.ndarray) -> DataFrame:
@@ -138,7 +145,7 @@ def prefixes(docs: DataFrame, common: np.ndarray) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches):
-        shingle, by_hash = resident(Shingler, Shingler), np.sort(sent.value)
+        shingle, by_hash = Shingler(), np.sort(sent.value)
         rank = np.argsort(sent.value, kind="stable")
         mask, maybe = np.uint64((1 << 23) - 1), np.zeros(1 << 23, bool)
         maybe[(by_hash & mask).astype(np.int64)] = True
@@ -162,7 +169,7 @@ def prefixes(docs: DataFrame, common: np.ndarray) -> DataFrame:
                 cols = [pa.array(ids[i : i + len(n)], pa.int64()), pa.array(n), pa.array(signed(s1)), pa.array(signed(s2)), pa.ListArray.from_arrays(at, pa.array(signed(np.concatenate(out))))]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "s1", "s2", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n long, s1 long, s2 long, prefix array<long>")
 
 
 def may_link(nx, px, ny, py):
@@ -299,14 +306,14 @@ def verified(pairs: DataFrame, docs: DataFrame, sketches: DataFrame) -> DataFram
     left = written(pairs.join(sa, "a").join(sb, "b").mapInPandas(near, "a long, b long").distinct(), "pairs")
 
     def whole(batches):
-        shingle = resident(Shingler, Shingler)
+        shingle = Shingler()
         for b in batches:
             ids = b.column(0).to_pylist()
             for i, texts in _texts(b, 1):
                 yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + len(texts)], pa.int64()), pa.array([shingle(x).tobytes() for x in texts], pa.binary())], ["doc_id", "set"])
 
     ids = left.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = written(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(whole, "doc_id long, set binary"), "sets")
+    sets = written(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(lean(whole), "doc_id long, set binary"), "sets")
 
     def same(batches):
         for b in batches:
@@ -321,7 +328,7 @@ def verified(pairs: DataFrame, docs: DataFrame, sketches: DataFrame) -> DataFram
 
     x = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x"))
     y = sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y"))
-    return left.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(same, "a long, b long")
+    return left.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(lean(same), "a long, b long")
 
 
 def near_documents(docs: DataFrame) -> DataFrame:
@@ -344,7 +351,7 @@ def near_documents(docs: DataFrame) -> DataFrame:
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     entries = prefixes(docs, common.copy()).join(reps, ["doc_id", "s1", "s2"]).select("doc_id", "n", F.posexplode("prefix").alias("pos", "key")).select("key", "n", "doc_id", F.col("pos").cast("long").alias("pos"))
     entries = entries.repartitionByRange(n_parts, "key", "n", "doc_id").sortWithinPartitions("key", "n", "doc_id")
-    lists = written(entries.mapInArrow(_lists, "key long, block long, n long, doc_id long, pos int, prev long, open boolean"), "lists")
+    lists = written(entries.mapInArrow(lean(_lists), "key long, block long, n long, doc_id long, pos int, prev long, open boolean"), "lists")
     # Four keys of each set by the smallest of four hashes; none that would be of use where rows of a doc_id differ.
     marks = lists.groupBy("doc_id", "n").agg(*(F.min_by("key", F.xxhash64("key", F.lit(t))).alias(m) for t, m in enumerate(MARKS)))
     marks = marks.join(reps.groupBy("doc_id").count().where("count > 1"), "doc_id", "left_anti")
@@ -368,7 +375,7 @@ def near_documents(docs: DataFrame) -> DataFrame:
         groups = sketches.join(components(links).withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("grp"), *NARROW, *MARKS)
         e = lists.select("block", "n", "pos", "doc_id", "key", "open").join(groups, ["doc_id", "n"])
         cells = e.select(F.col("block").alias("c1"), F.col("block").alias("c2"), F.lit(0).alias("side"), *cols[3:]).unionByName(e.where("open").join(ends, "block").select(*cols))
-        more = cells.select(*cols).repartition(n_parts, "c1", "c2").sortWithinPartitions("c1", "c2", "n", "doc_id").mapInArrow(partial(_outside, nearest), "a long, b long, apart long")
+        more = cells.select(*cols).repartition(n_parts, "c1", "c2").sortWithinPartitions("c1", "c2", "n", "doc_id").mapInArrow(lean(partial(_outside, nearest)), "a long, b long, apart long")
         more = more.groupBy("a", "b").agg(F.min("apart").alias("apart")).join(tried, ["a", "b"], "left_anti")
         if nearest:
             more = more.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a"))

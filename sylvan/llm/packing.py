@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from sylvan.llm.common import parts, resident
+from sylvan.llm.common import lean, parts, resident
 
 END_ID = 2
 #: Tokens of padding that a cut is worth: at a sentence's end, elsewhere in a document.
@@ -31,7 +31,7 @@ SENTENCE, HARD = 8, 32
 GAP, STEP = 32, 64
 #: Tokens that a task holds before it settles windows, and chunks kept per worker.
 HELD, KEPT = 1 << 20, 300_000
-BATCH = 4 << 20
+BATCH = 2 << 20
 #: str.split() also splits at these, which the tokenizer treats as text.
 PUNCTUATION, LATIN = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~", re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 MARK = "\0"
@@ -245,4 +245,4 @@ def packed(docs: DataFrame, vocabulary: str, window: int = 4096, with_ids: bool
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
     schema = ", ".join(f"{x} long" for x in names[:7]) + ", ids array<int>" * with_ids
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(lean(run, keeps=True), schema)

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sylvan.llm.common import parts, written
+from sylvan.llm.common import lean, parts, written
 
 #: Bytes of a window and of an anchor; bytes of text at a time; contested snippets of an anchor that are held in a task.
 LENGTH, ANCHOR = 50, 16
@@ -92,7 +92,7 @@ def _all_snippets(docs: DataFrame) -> DataFrame:
                 for s in range(0, len(doc), 100_000):
                     yield pa.RecordBatch.from_arrays([pa.array(c[s : s + 100_000]) for c in cols], ["anchor", "digest", "doc", "start", "size"])
 
-    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(run, "anchor long, digest long, doc long, start int, size int")
+    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(lean(run), "anchor long, digest long, doc long, start int, size int")
 
 
 def _settle(batches):
@@ -207,7 +207,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     """doc, start, size: runs of 50-byte windows of a document that also start in a document with a smaller doc_id."""
     n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["anchor", "digest", "doc", "start"]
-    settled = written(_all_snippets(docs).repartition(n_parts, "anchor").sortWithinPartitions(*order).mapInArrow(_settle, "anchor long, doc long, start int, size int, contested boolean"), "snippets")
+    settled = written(_all_snippets(docs).repartition(n_parts, "anchor").sortWithinPartitions(*order).mapInArrow(lean(_settle), "anchor long, doc long, start int, size int, contested boolean"), "snippets")
     open_ = settled.where("contested")
     hot = open_.groupBy("anchor").count().where(F.col("count") > HOT).select("anchor", F.lit(True).alias("hot"))
     places = open_.join(hot, "anchor", "left").groupBy("doc").agg(F.collect_list(F.struct("anchor", "start", "size", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("at"))
@@ -220,9 +220,9 @@ def repeated(docs: DataFrame) -> DataFrame:
                 own = [raw[s : s + n + LENGTH - 1] for s, n in zip(start.tolist(), size.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(np.full(len(own), doc)), pa.array(start), pa.array(own, pa.binary()), pa.array(is_hot)], ["anchor", "doc", "start", "raw", "hot"])
 
-    got = docs.select(F.col("doc_id").alias("doc"), "text").join(places, "doc").mapInArrow(cut, "anchor long, doc long, start int, raw binary, hot boolean").where(F.octet_length("raw") >= LENGTH)
+    got = docs.select(F.col("doc_id").alias("doc"), "text").join(places, "doc").mapInArrow(lean(cut), "anchor long, doc long, start int, raw binary, hot boolean").where(F.octet_length("raw") >= LENGTH)
     got = written(got.dropDuplicates(["anchor", "doc", "start", "hot"]), "contested")
-    plain = got.where("NOT hot").select("anchor", "doc", "start", "raw").repartition(n_parts, "anchor").sortWithinPartitions("anchor").mapInArrow(_contested, "doc long, start int, size int")
+    plain = got.where("NOT hot").select("anchor", "doc", "start", "raw").repartition(n_parts, "anchor").sortWithinPartitions("anchor").mapInArrow(lean(_contested), "doc long, start int, size int")
     # Anchors with very many different snippets are dealt out window by window.
     each = got.where("hot").select("doc", F.col("start").alias("from"), "raw", F.explode(F.sequence(F.lit(0), F.octet_length("raw") - LENGTH)).alias("k")).select("doc", (F.col("from") + F.col("k")).alias("start"), F.expr(f"substring(raw, k + 1, {LENGTH})").alias("w"))
     least = each.groupBy("w").agg(F.min("doc").alias("least"))
@@ -263,4 +263,4 @@ def without_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text)
 
     rows = docs.select("doc_id", "text").join(spans, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "at")
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
+    return rows.mapInArrow(lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)

@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sylvan.llm import nbsvm
-from sylvan.llm.common import parts, resident
+from sylvan.llm.common import lean, parts, resident
 
 #: n-gram lengths in characters, hashed cells, words kept per worker, training bounds (rows, characters), threshold.
 LENGTHS, BITS, KEPT = (3, 4, 5), 18, 150_000
 CELLS = 1 << BITS
 MOST_ROWS, MOST_CHARS, THRESHOLD = 8_000, 20_000_000, 0.7
-BATCH = 4 << 20
+BATCH = 1 << 20
 
 
 class Features:
@@ -86,7 +86,7 @@ def scored(docs: DataFrame, model: nbsvm.LinearModel, features, threshold: float
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
-    return docs.select("doc_id", held.alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.select("doc_id", held.alias("held_out"), "text").mapInArrow(lean(run, keeps=True), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_chars: int = MOST_CHARS) -> nbsvm.LinearModel:
@@ -120,4 +120,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 keep += [m.score(m.margin(x)) < THRESHOLD for x in f.batch([x or "" for x in texts[i:j].to_pylist()])]
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run, keeps=True), docs.schema)
