@@ -15,9 +15,9 @@ from sylvan.functions.losses import Loss, get_loss_function, sigmoid, softmax
 from sylvan.operators.binning import bin_edges, coded
 from sylvan.operators.bundling import FeatureBundler
 from sylvan.operators.sampling import GOSS, bagging
-from sylvan.operators.split import Rules
+from sylvan.operators.split import Rules, blocks, totals
 from sylvan.params import ALIASES, BoosterParams, check_is_fitted
-from sylvan.plans.scoring import added, raw_scores
+from sylvan.plans.scoring import advanced, raw_scores
 from sylvan.plans.tree import Tree, grow
 from sylvan.sources.ingest import check_frame, cut, from_arrays, layout
 
@@ -57,7 +57,7 @@ class BoostedModel(ABC):
     """Rows are given as a DataFrame with the feature columns (all numeric ones but label, weight and row_id, if not named),
     or as arrays. Predictions come as a DataFrame with further columns, or for arrays as an array."""
 
-    def __init__(self, objective=None, *, feature_cols: list[str] | None = None, label_col: str = "label", weight_col: str | None = None, row_id: str = "row_id", cut_every: int = 4, compat: bool = True, **params):
+    def __init__(self, objective=None, *, feature_cols: list[str] | None = None, label_col: str = "label", weight_col: str | None = None, row_id: str = "row_id", cut_every: int = 8, compat: bool = True, **params):
         params = {ALIASES.get(k, k): v for k, v in params.items()}
         unknown = set(params) - set(BoosterParams().to_dict())
         if unknown:
@@ -80,7 +80,7 @@ class BoostedModel(ABC):
             k = ALIASES.get(k, k)
             if k == "objective":
                 self.objective = v
-            elif hasattr(self.params, k):
+            elif k in self.params.to_dict():
                 setattr(self.params, k, v)
             else:
                 raise ValueError(f"unknown parameter {k}")
@@ -175,10 +175,22 @@ class BoostedModel(ABC):
         g, h = self._gradients(loss, many)
         value = loss.value(F.col("label"), F.col("pred") if many else F.get("pred", F.lit(0)))
         seed, first, best, waited = p.random_state or 0, len(self.trees_), float("inf"), 0
+        pending, held = [], None  # rounds since rows were last written; blocks and sums of the next round
+
+        def graded(d):
+            d = d.withColumns({"g": g, "h": h})
+            return d.withColumns({c: F.transform(c, lambda v: v * F.col("weight")) for c in ("g", "h")}) if "weight" in d.columns else d
+
+        def packed(d):
+            """Blocks of the rows with their gradients; rows, sums of g and h, and mean loss."""
+            b = cut(blocks(graded(d).withColumn("v", value), self.n_features_, n_classes), "blocks")
+            return b, totals(b, n_classes)
+
+        fast = edges is not None
+        if fast:
+            held = packed(rows)
         for k in range(first, first + p.num_iterations):
-            d = rows.withColumns({"g": g, "h": h})
-            if "weight" in d.columns:
-                d = d.withColumns({c: F.transform(c, lambda v: v * F.col("weight")) for c in ("g", "h")})
+            d = graded(advanced(rows, pending)) if not fast else None
             if p.enable_goss:
                 d = d.withColumn("size", F.aggregate(F.transform("g", lambda v: F.abs(v)), F.lit(0.0), lambda s, v: s + v))
                 d = GOSS(p.goss_top_rate, p.goss_other_rate, seed).sample(d, "size", turn=k)
@@ -193,19 +205,21 @@ class BoostedModel(ABC):
                     d = coded(d, own)
             rng = random.Random(seed if self.compat and p.random_state is not None else f"{p.random_state}/{k}")
             some = rng.sample(range(self.n_features_), max(1, int(self.n_features_ * p.feature_fraction))) if p.feature_fraction < 1 else None
-            trees = grow(d, n_classes, self.n_features_, rules, edges=own, features=some, num_leaves=p.num_leaves, max_depth=p.max_depth, min_gain=p.min_gain_to_split)
+            d, sums = (held[0], held[1][0]) if fast else (d, None)
+            trees = grow(d, n_classes, self.n_features_, rules, edges=own, features=some, num_leaves=p.num_leaves, max_depth=p.max_depth, min_gain=p.min_gain_to_split, sums=sums)
             rate = self._rate(k)
             for t in trees:
                 t.shrinkage = rate
             self.trees_.append(trees)
-            rows = rows.withColumn("pred", added("pred", trees, rate))
-            if valid is not None:
-                valid = valid.withColumn("pred", added("pred", trees, rate))
-            if (k - first + 1) % self.cut_every == 0:
-                rows = cut(rows, "train")
-                valid = cut(valid, "valid") if valid is not None else None
-            train_loss = float(rows.agg(F.avg(value)).first()[0])
-            val_loss = float(valid.agg(F.avg(value)).first()[0]) if valid is not None else None
+            pending.append((trees, rate))
+            if len(pending) >= self.cut_every:
+                rows = cut(advanced(rows, pending), "train")
+                valid = cut(advanced(valid, pending), "valid") if valid is not None else None
+                pending = []
+            if fast:
+                held = packed(advanced(rows, pending))
+            train_loss = held[1][1] if fast else float(advanced(rows, pending).agg(F.avg(value)).first()[0])
+            val_loss = float(advanced(valid, pending).agg(F.avg(value)).first()[0]) if valid is not None else None
             self.history_["train_loss"].append(train_loss)
             if val_loss is not None:
                 self.history_["val_loss"].append(val_loss)

@@ -37,7 +37,7 @@ def smallest(df: DataFrame, key: Column, n: int) -> Column:
 
 def goss_sizes(n: int, top_rate: float, other_rate: float) -> tuple[int, int]:
     top = max(1, int(n * top_rate))
-    return top, min(max(0, int(n * other_rate)), n - top)
+    return top, min(max(1, int(n * other_rate)), n - top)
 
 
 class GOSS:
@@ -46,8 +46,8 @@ class GOSS:
     def __init__(self, top_rate: float = 0.2, other_rate: float = 0.1, random_state: int | None = None):
         if not (0 < top_rate < 1 and 0 < other_rate < 1):
             raise ValueError("top_rate and other_rate must be in (0, 1)")
-        if top_rate + other_rate > 1:
-            raise ValueError("top_rate + other_rate must be at most 1")
+        if top_rate + other_rate >= 1:
+            raise ValueError("top_rate + other_rate must be below 1")
         self.top_rate, self.other_rate, self.random_state = top_rate, other_rate, random_state
         self.factor = (1 - top_rate) / other_rate
 

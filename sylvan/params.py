@@ -50,18 +50,18 @@ class BoosterParams:
             ("learning_rate", self.learning_rate > 0, "positive"),
             ("max_depth", self.max_depth == -1 or self.max_depth >= 1, "-1 or at least 1"),
             ("num_leaves", self.num_leaves >= 2, "at least 2"),
-            ("min_data_in_leaf", self.min_data_in_leaf >= 1, "at least 1"),
+            ("min_data_in_leaf", self.min_data_in_leaf >= 0, "not negative"),
             ("lambda_l1", self.lambda_l1 >= 0, "not negative"),
             ("lambda_l2", self.lambda_l2 >= 0, "not negative"),
             ("min_gain_to_split", self.min_gain_to_split >= 0, "not negative"),
             ("feature_fraction", 0 < self.feature_fraction <= 1, "in (0, 1]"),
             ("bagging_fraction", 0 < self.bagging_fraction <= 1, "in (0, 1]"),
             ("max_bins", self.max_bins >= 2, "at least 2"),
-            ("min_sum_hessian_in_leaf", self.min_sum_hessian_in_leaf >= 0, "not negative"),
+            ("min_sum_hessian_in_leaf", self.min_sum_hessian_in_leaf > 0, "positive"),
             ("lr_decay", 0 < self.lr_decay <= 1, "in (0, 1]"),
             ("goss_top_rate", 0 < self.goss_top_rate < 1, "in (0, 1)"),
             ("goss_other_rate", 0 < self.goss_other_rate < 1, "in (0, 1)"),
-            ("goss_top_rate + goss_other_rate", self.goss_top_rate + self.goss_other_rate <= 1, "at most 1"),
+            ("goss_top_rate + goss_other_rate", self.goss_top_rate + self.goss_other_rate < 1, "below 1"),
         ]
         for name, ok, what in rules:
             if not ok:

@@ -51,6 +51,20 @@ def raw_scores(df: DataFrame, trees: list[list[Tree]], init: list[float], rates:
     return df.mapInArrow(run, schema)
 
 
-def added(pred: str, trees: list[Tree], rate: float):
-    """Column pred (array) with one round's trees added, JVM-side."""
-    return F.expr("array(" + ", ".join(f"{pred}[{k}] + {rate!r}D * {t.sql()}" for k, t in enumerate(trees)) + ")")
+def advanced(df: DataFrame, rounds: list[tuple[list[Tree], float]]) -> DataFrame:
+    """df (with columns x and pred) with the trees of some rounds, each with its rate, added to pred, a place per class."""
+    if not rounds:
+        return df
+    model = [([(flat(t), t.max_depth) for t in trees], rate) for trees, rate in rounds]
+    at, to = (df.schema.fieldNames().index(c) for c in ("x", "pred"))
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                x, out = (b.column(k).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) for k in (at, to))
+                for trees, rate in model:
+                    out = out + rate * np.stack([routed(x, tree, depth) for tree, depth in trees], 1)
+                pred = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, out.shape[1]).astype(np.int32)), pa.array(out.ravel()))
+                yield pa.RecordBatch.from_arrays([*b.columns[:to], pred, *b.columns[to + 1 :]], b.schema.names)
+
+    return df.mapInArrow(run, df.schema)

@@ -14,7 +14,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sylvan.operators.split import Rules, Split, best_binned, best_exact, histogram, leaf_value
+from sylvan.operators.split import Rules, Split, best_binned, best_exact, blocks, leaf_value
+from sylvan.sources.ingest import cut
 
 
 @dataclass
@@ -95,6 +96,20 @@ class Growth:
 
         return at("")
 
+    def places(self, edges: list[list[float]]) -> tuple[list[tuple[int, int, int, int, int]], list[str]]:
+        """The known splits as places for routed_codes(), and the path of each slot: the wanted ones."""
+        out, slots, todo = [(-1, 0, 0, 0, -1)], [], [(0, "")]
+        for i, path in todo:
+            s = self.splits.get(path)
+            if path in self.wanted:
+                out[i] = (-1, 0, 0, 0, len(slots))
+                slots.append(path)
+            elif s is not None:
+                out[i] = (s.feature, int(np.searchsorted(edges[s.feature], s.threshold)), len(out), len(out) + 1, -1)
+                todo += [(len(out), path + "L"), (len(out) + 1, path + "R")]
+                out += [(-1, 0, 0, 0, -1)] * 2
+        return out, slots
+
 
 def replay(g: Growth, rules: Rules, num_leaves: int, max_depth: int, min_gain: float) -> tuple[Tree, set[str]]:
     """The tree as far as it is known, and the paths whose best splits are needed to go on (empty: it is complete)."""
@@ -140,13 +155,17 @@ def replay(g: Growth, rules: Rules, num_leaves: int, max_depth: int, min_gain: f
     return tree, set()
 
 
-def grow(df: DataFrame, n_trees: int, n_features: int, rules: Rules, *, edges: list[list[float]] | None, features: list[int] | None = None, num_leaves: int = 31, max_depth: int = -1, min_gain: float = 0.0) -> list[Tree]:
+def grow(df: DataFrame, n_trees: int, n_features: int, rules: Rules, *, edges: list[list[float]] | None, features: list[int] | None = None, num_leaves: int = 31, max_depth: int = -1, min_gain: float = 0.0, sums: tuple | None = None) -> list[Tree]:
     """n_trees trees on rows with columns x, g array<double>, h array<double> (an entry per tree) and, with edges, codes.
 
-    With edges splits are sought over bins, without over all distinct values.
+    With edges splits are sought over bins, without over all distinct values. With edges df may also be blocks(), and sums
+    (rows, then G and H of each tree) are taken from the caller if given.
     """
     features = list(range(n_features)) if features is None else features
-    sums = df.agg(F.count("*"), *(F.sum(F.get(c, F.lit(k))) for k in range(n_trees) for c in ("g", "h"))).first()
+    if sums is None:
+        sums = df.agg(F.count("*"), *(F.sum(F.get(c, F.lit(k))) for k in range(n_trees) for c in ("g", "h"))).first()
+    if edges is not None and "v" not in df.columns:
+        df = cut(blocks(df.withColumn("v", F.lit(0.0)), len(edges), n_trees), "blocks")
     growth = [Growth({}, (sums[1 + 2 * k] or 0.0, sums[2 + 2 * k] or 0.0, sums[0])) for k in range(n_trees)]
     trees: list[Tree | None] = [None] * n_trees
     while True:
@@ -158,18 +177,21 @@ def grow(df: DataFrame, n_trees: int, n_features: int, rules: Rules, *, edges: l
         open_ = [k for k in range(n_trees) if trees[k] is None]
         if not open_:
             return trees
+        if edges is not None:
+            routes = {k: growth[k].places(edges) for k in open_}
+            got = best_binned(df, {k: v[0] for k, v in routes.items()}, edges, features, rules).collect()  # a row per node
+            for k in open_:
+                growth[k].splits.update({p: None for p in growth[k].wanted})
+                growth[k].wanted = set()
+            for b in got:
+                growth[b["tree"]].splits[routes[b["tree"]][1][b["slot"]]] = Split(b["gain"], b["feature"], float(edges[b["feature"]][b["cut"]]), (b["GL"], b["HL"], b["nl"]), (b["G"] - b["GL"], b["H"] - b["HL"], b["n"] - b["nl"]))
+            continue
         cells = [F.struct(F.lit(k).alias("tree"), F.expr(growth[k].route()).alias("path"), F.get("g", F.lit(k)).alias("g"), F.get("h", F.lit(k)).alias("h")) for k in open_]
         wanted = [f"(tree = {k} AND path IN ({', '.join(repr(p) for p in sorted(growth[k].wanted))}))" for k in open_]
-        kept = ["codes"] if edges is not None else ["x"]
-        rows = df.select("x", *(["codes"] if edges is not None else []), F.explode(F.array(*cells)).alias("c")).select(*kept, "c.*").where(" OR ".join(wanted))
+        rows = df.select("x", F.explode(F.array(*cells)).alias("c")).select("x", "c.*").where(" OR ".join(wanted))
         for k in open_:
             growth[k].splits.update({p: None for p in growth[k].wanted})
-        if edges is not None:
-            got = histogram(rows, ["tree", "path"]).toPandas()  # nodes x features x bins, whatever the number of rows
-            for (k, path), own in got.groupby(["tree", "path"]):
-                growth[k].splits[path] = best_binned(own[["feature", "code", "G", "H", "n"]].to_numpy(float), edges, features, rules)
-        else:
-            for b in best_exact(rows, ["tree", "path"], features, rules).collect():  # a row per node
-                growth[b["tree"]].splits[b["path"]] = Split(b["gain"], b["feature"], b["threshold"], (b["GL"], b["HL"], b["nl"]), (b["G"] - b["GL"], b["H"] - b["HL"], b["n"] - b["nl"]))
+        for b in best_exact(rows, ["tree", "path"], features, rules).collect():  # a row per node
+            growth[b["tree"]].splits[b["path"]] = Split(b["gain"], b["feature"], b["threshold"], (b["GL"], b["HL"], b["nl"]), (b["G"] - b["GL"], b["H"] - b["HL"], b["n"] - b["nl"]))
         for g in growth:
             g.wanted = set()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sylvan.booster import BoostedClassifier, BoostedRegressor
 from sylvan.functions import losses, metrics
 from sylvan.operators import binning, bundling, sampling, split
+from sylvan.plans.tree import grow
 
 FEATURES = ["l_quantity", "l_discount", "l_tax"]
 #: Digits to which results are rounded before they are compared; sums depend on the order of rows in the last ones.
@@ -93,13 +94,6 @@ def loss_softmax_gradients(spark, sf_dir):
     return d.select(*KEY, *(rounded(F.get(g, F.lit(k))).alias(f"g{k}") for k in range(3)), rounded(F.get(h, F.lit(0))).alias("h0"), rounded(loss.value(c, r)).alias("v"), (F.array_position(p, F.array_max(p)) - 1).cast("int").alias("best"))
 
 
-@query(f" SELECT {R('avg(y)')} AS mean, {R('median(y)')} AS median, {R('quantile_cont(y, 0.8)')} AS q80, {R('ln(avg(b) / (1 - avg(b)))')} AS log_odds FROM d")
-def initial_scores(spark, sf_dir):
-    d = sample(spark, sf_dir)
-    p = F.avg("b")
-    return d.agg(rounded(F.avg("y")).alias("mean"), rounded(F.median("y")).alias("median"), rounded(F.percentile("y", F.lit(0.8))).alias("q80"), rounded(F.log(p / (1 - p))).alias("log_odds"))
-
-
 @query(f""" SELECT {R("avg((b = (s > 0)::INT)::INT)")} AS accuracy, {R('avg((y - f) * (y - f))')} AS mse, {R('avg(abs(y - f))')} AS mae, {R('1 - sum((y - f) * (y - f)) / (var_pop(y) * count(*))')} AS r2,
     {R(f"avg(-(b * ln({SIGMOID}) + (1 - b) * ln(1 - {SIGMOID})))")} AS log_loss FROM d""")
 def metrics_all(spark, sf_dir):
@@ -109,9 +103,10 @@ def metrics_all(spark, sf_dir):
 
 @query(" SELECT c, count(*) AS n FROM (SELECT dense_rank() OVER (ORDER BY l_returnflag) - 1 AS c FROM d) GROUP BY c")
 def label_encoding(spark, sf_dir):
-    d = sample(spark, sf_dir)
-    known = F.array(*(F.lit(r[0]) for r in sorted(d.select("l_returnflag").distinct().collect())))
-    return d.groupBy((F.array_position(known, F.col("l_returnflag")) - 1).cast("long").alias("c")).agg(F.count("*").alias("n"))
+    """The classifier's own encoding of the labels it finds."""
+    m = BoostedClassifier()
+    d = m._prepare(sample(spark, sf_dir).select((F.ascii("l_returnflag") * 2).cast("double").alias("label")))
+    return d.groupBy(F.col("label").cast("long").alias("c")).agg(F.count("*").alias("n"))
 
 
 EDGES = [[10.5, 20.5, 30.5, 40.5], [0.025, 0.055], [0.015, 0.045, 0.065]]
@@ -172,6 +167,70 @@ def best_split_exact(spark, sf_dir):
     return b.select("feature", rounded(F.col("threshold")).alias("threshold"), rounded(F.col("gain"), 2).alias("gain"), F.col("nl").alias("n_left"))
 
 
+NAN_CODE = "CASE WHEN l_orderkey % 7 = 0 THEN -1 ELSE {} END"
+SOFT = "(CASE WHEN {0} > 50 THEN {0} - 50 WHEN {0} < -50 THEN {0} + 50 ELSE 0 END)"
+SOFT_GAIN = f"{SOFT.format('GL')} * {SOFT.format('GL')} / (greatest(HL, 0.001) + 1) + {SOFT.format('(G - GL)')} * {SOFT.format('(G - GL)')} / (greatest(H - HL, 0.001) + 1) - {SOFT.format('G')} * {SOFT.format('G')} / (greatest(TH, 0.001) + 1 + 1e-10)"
+
+
+@query(f""", l AS (SELECT 0 AS feature, {NAN_CODE.format(CODES[0])} AS code, g, h FROM d UNION ALL SELECT 1, {CODES[1]}, g, h FROM d UNION ALL SELECT 2, {CODES[2]}, g, h FROM d),
+    v AS (SELECT feature, code, sum(g) AS g, sum(h) AS t, sum(h) + CASE WHEN code >= 0 THEN 1e-6 ELSE 0 END AS h, count(*) AS c FROM l GROUP BY feature, code),
+    w AS (SELECT feature, code, sum(g) OVER u AS GL, sum(h) OVER u AS HL, sum(c) OVER u AS nl, sum(g) OVER a AS G, sum(h) OVER a AS H, sum(t) OVER a AS TH, sum(c) OVER a AS n, max(code) OVER a AS top FROM v
+      WINDOW u AS (PARTITION BY feature ORDER BY code ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY feature)),
+    k AS (SELECT *, {SOFT_GAIN} AS gain FROM w WHERE code >= 0 AND code < top AND nl >= 100 AND n - nl >= 100 AND HL >= 0.001 AND H - HL >= 0.001)
+    SELECT feature, (CASE feature WHEN 0 THEN {EDGES[0]}[code + 1] WHEN 1 THEN {EDGES[1]}[code + 1] ELSE {EDGES[2]}[code + 1] END)::DOUBLE AS threshold, {R('gain', 2)} AS gain, nl::BIGINT AS n_left, n::BIGINT AS n FROM k ORDER BY gain DESC, feature, code LIMIT 1""")
+def best_split_binned(spark, sf_dir):
+    """Missing values in one feature, L1 and L2, least rows: the first split that a tree of two leaves takes."""
+    x = F.array(F.when(F.col("l_orderkey") % 7 == 0, float("nan")).otherwise(F.col(FEATURES[0])), *FEATURES[1:])
+    d = binning.coded(sample(spark, sf_dir).select(x.alias("x"), F.array("g").alias("g"), F.array("h").alias("h")), EDGES)
+    (t,) = grow(d, 1, 3, split.Rules(lambda_l1=50.0, lambda_l2=1.0, min_data=100), edges=EDGES, num_leaves=2)
+    root, left = t.nodes[0], t.nodes[t.nodes[0].left]
+    out = spark.createDataFrame([(root.feature, float(root.threshold), float(root.gain), left.n_samples, root.n_samples)], "feature int, threshold double, gain double, n_left long, n long")
+    return out.withColumn("gain", rounded(F.col("gain"), 2))
+
+
+def _stump_rounds(y: str, init: str, grad: str, hess: str, rate: float, rounds: int) -> str:
+    """Rounds of stumps over l_quantity cut at the edges 10.5 to 40.5, each round's scores out of the last one's."""
+    cuts = ", ".join(f"({e}::DOUBLE)" for e in EDGES[0])
+    out = f", base AS (SELECT *, {y} AS t FROM d), r0 AS (SELECT l_orderkey, l_linenumber, l_quantity AS q, t, ({init}) AS f FROM base)"
+    for k in range(rounds):
+        out += f""", g{k} AS (SELECT *, {grad} AS gg, {hess} AS hh FROM r{k}),
+        t{k} AS (SELECT e, sum(gg) FILTER (q <= e) AS GL, sum(hh) FILTER (q <= e) AS HL, sum(gg) AS G, sum(hh) AS H, count(*) FILTER (q <= e) AS nl, count(*) AS n,
+          count(DISTINCT CASE WHEN q <= 10.5 THEN 0 WHEN q <= 20.5 THEN 1 WHEN q <= 30.5 THEN 2 WHEN q <= 40.5 THEN 3 ELSE 4 END) FILTER (q <= e) AS bl FROM g{k}, (VALUES {cuts}) c(e) GROUP BY e),
+        s{k} AS (SELECT * FROM t{k} WHERE nl >= 20 AND n - nl >= 20 ORDER BY GL * GL / (HL + bl * 1e-6 + 1) + (G - GL) * (G - GL) / (H - HL + (5 - bl) * 1e-6 + 1) DESC, e LIMIT 1),
+        r{k + 1} AS (SELECT l_orderkey, l_linenumber, q, t, f - {rate} * CASE WHEN q <= e THEN GL / (HL + 1 + 1e-10) ELSE (G - GL) / (H - HL + 1 + 1e-10) END AS f FROM g{k}, s{k})"""
+    return out
+
+
+def _stumps(model, label, spark, sf_dir):
+    """A model of stumps on the bins' middles of l_quantity, so that its quantile edges are the distinct middles' own."""
+    d = sample(spark, sf_dir).withColumns({"label": label, "q": binning.code(F.col("l_quantity"), EDGES[0]).cast("double")})
+    return model(feature_cols=["q"], num_leaves=2, lambda_l2=1.0, use_histogram=True, learning_rate=0.5), d
+
+
+@query(_stump_rounds("y", "SELECT avg(y) FROM d", "f - t", "1.0::DOUBLE", 0.5, 3) + f" SELECT l_orderkey, l_linenumber, {R('f', 3)} AS prediction FROM r3")
+def regressor_rounds(spark, sf_dir):
+    """Three rounds: histograms, gains, leaves, shrinkage and scores all by the library's own path."""
+    m, d = _stumps(BoostedRegressor, F.col("y"), spark, sf_dir)
+    m.set_params(num_iterations=3).fit(d)
+    return m.predict(d).select(*KEY, rounded(F.col("prediction"), 3).alias("prediction"))
+
+
+@query(_stump_rounds("b", "SELECT ln(avg(b) / (1 - avg(b))) FROM d", "1 / (1 + exp(-f)) - t", "(1 / (1 + exp(-f))) * (1 - 1 / (1 + exp(-f)))", 0.5, 2) + f" SELECT l_orderkey, l_linenumber, {R('1 / (1 + exp(-f))')} AS p, CASE WHEN 1 / (1 + exp(-f)) > 0.5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS prediction FROM r2")
+def classifier_rounds(spark, sf_dir):
+    m, d = _stumps(BoostedClassifier, F.col("b"), spark, sf_dir)
+    m.set_params(num_iterations=2).fit(d)
+    return m.predict(d).select(*KEY, rounded(F.get("probability", F.lit(1))).alias("p"), "prediction")
+
+
+@query(f" SELECT {R('avg(y)')} AS mean, {R('median(y)')} AS median, {R('quantile_cont(y, 0.8)')} AS q80, {R('ln(avg(b) / (1 - avg(b)))')} AS log_odds, {R('ln(avg((b = 0)::INT))')} AS class_0, {R('ln(avg((b = 1)::INT))')} AS class_1 FROM d")
+def initial_scores(spark, sf_dir):
+    """What each loss starts from, by Loss.init."""
+    d = sample(spark, sf_dir)
+    known = [losses.MSELoss().init(d, "y"), losses.MAELoss().init(d, "y"), losses.QuantileLoss(0.8).init(d, "y"), losses.BinaryCrossEntropyLoss().init(d, "b"), *losses.MultiClassCrossEntropyLoss(2).init(d, "b")]
+    names = ["mean", "median", "q80", "log_odds", "class_0", "class_1"]
+    return spark.createDataFrame([tuple(map(float, known))], ", ".join(f"{n} double" for n in names)).select(*(rounded(F.col(n)).alias(n) for n in names))
+
+
 @query(f" SELECT {R('-sum(g) / (sum(h) + 1 + 1e-10)')} AS leaf, {R('sum(g) * sum(g) / (sum(h) + 1 + 1e-10)', 2)} AS score FROM d")
 def root_leaf(spark, sf_dir):
     g, h = sample(spark, sf_dir).agg(F.sum("g"), F.sum("h")).first()
