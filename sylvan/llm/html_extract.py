@@ -61,10 +61,15 @@ class Node:
             parent.children.append(self)
 
 
-def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
-    """Block nodes in page order, the root first, and runs of inline text with the node that holds each."""
+def parse(page: str, mark: str = "") -> tuple[list[Node], list[tuple[Node, str]]]:
+    """Block nodes in page order, the root first, and runs of inline text with the node that holds each.
+
+    mark: in generated pages, what text of the main part begins with. Any other page is taken as it is.
+    """
     root = Node("html", None)
     nodes, runs, stack = [root], [], [("html", root)]
+    blocks: list[int] = []  # places of block elements in the stack, without the root
+    count: collections.Counter = collections.Counter()  # open elements by tag
     run: list[str] = []
     skip = link = 0  # depth of elements whose text is dropped; of links
 
@@ -75,9 +80,9 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
             run = []
             if text:
                 node = stack[-1][1]
-                if text.startswith(MARK):
+                if mark and text.startswith(mark):
                     node.content = True
-                    text = text.replace(MARK, "")
+                    text = text.replace(mark, "")
                 runs.append((node, text))
                 node.own += len(text)
                 node.marks += sum(map(text.count, ".,;:!?"))
@@ -91,6 +96,9 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
     def pop():
         nonlocal skip, link
         tag, _ = stack.pop()
+        count[tag] -= 1
+        if blocks and blocks[-1] == len(stack):
+            blocks.pop()
         skip -= tag in SKIPPED
         link -= tag == "a"
 
@@ -106,7 +114,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
             continue
         tag = m[2].lower()
         if m[1]:
-            if any(t == tag for t, _ in stack[1:]):
+            if count[tag]:
                 while True:
                     last = stack[-1][0]
                     if last in BLOCKS:
@@ -132,7 +140,10 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
         if tag in BLOCKS:
             flush()
             shut, until = CLOSES.get(tag, (frozenset(), frozenset()))
-            for k in range(len(stack) - 1, 0, -1):
+            i = len(blocks)
+            while i:
+                i -= 1
+                k = blocks[i]
                 t = stack[k][0]
                 if t in until:
                     break
@@ -147,6 +158,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
             tokens = frozenset(TOKEN_OF[w] for w in SPLIT.split(words) if w in TOKEN_OF)
             node = Node(tag, stack[-1][1], tokens)
             nodes.append(node)
+            blocks.append(len(stack))
+            count[tag] += 1
             stack.append((tag, node))
         else:
             if m[3].endswith("/"):
@@ -155,6 +168,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
                 close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
                 at = close.end() if close else end
                 continue
+            count[tag] += 1
             stack.append((tag, stack[-1][1]))
             skip += tag in SKIPPED
             link += tag == "a"
@@ -355,7 +369,7 @@ def trained(pages: int = 900, seed: int = 11) -> Boosted:
     """Trees trained on generated pages; the same for the same arguments."""
     rng, xs, ys = random.Random(seed), [], []
     for _ in range(pages):
-        nodes, _ = parse(generated_page(rng))
+        nodes, _ = parse(generated_page(rng), MARK)
         for n in reversed(nodes):
             n.content = n.content or any(k.content for k in n.children)
         xs.append(features(nodes))

@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import shutil
+import time
 
 import numpy as np
 import public_tokenizers
@@ -305,6 +306,15 @@ def test_tags_of_many_siblings_are_counted():
     assert share[0] == 1 and share[8] == np.float32(1 / 250) and share[1] == np.float32(249 / 250)
 
 
+def test_private_use_characters_are_text_and_unclosed_tags_are_quick():
+    for text in ("\ue000 icon text", "a\ue000b"):
+        assert html_extract.parse(f"<body><p>{text}</p></body>")[1][0][1] == text
+    for page in ("<b>word " * 20_000, "<div>" * 20_000 + "x" + "</div>" * 20_000, "<p><b>one " * 20_000):
+        start = time.process_time()
+        html_extract.parse(page)
+        assert time.process_time() - start < 20
+
+
 def test_formulas_are_text():
     _, runs = html_extract.parse("<html><body><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold.</p></body></html>")
     assert "Let x=2 hold." in str(runs)
