@@ -198,6 +198,43 @@ def test_vectors(spark):
     assert got[206].component_id == 206 and got[200].component_id == 0 and not got[200].kept
 
 
+def test_vectors_near_the_threshold(spark, monkeypatch):
+    """Recall where it is hardest, in blocks of hot buckets, with repeated rows and columns of clashing names."""
+    rng = np.random.default_rng(1)
+    u = rng.normal(size=(1500, 32)) * np.linspace(2, 0.2, 32)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    w = rng.normal(size=u.shape)
+    w -= (w * u).sum(1)[:, None] * u
+    w /= np.linalg.norm(w, axis=1)[:, None]
+    c = rng.uniform(0.925, 0.95, (1500, 1))
+    x = np.concatenate([u, c * u + np.sqrt(1 - c * c) * w]).astype(np.float32)
+    rows = [(i, v.tolist(), 0, i, 0.0) for i, v in enumerate(x)]
+    rows += [rows[0], rows[7]]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, rep long, component_id double")
+    truth = np.zeros(len(x), int)
+    y = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    near = y @ y.T >= 0.93
+    for block in (embedding_dedup.BLOCK, 40):
+        monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+        got = embedding_dedup.near_vectors(frame).collect()
+        truth = near.sum(1) - 1 + near[:, 0] + near[:, 7]
+        assert len(got) == len(rows) and all(r.n_links <= truth[r.vec_id] for r in got)
+        assert sum(r.n_links for r in got) >= 0.95 * sum(truth[r.vec_id] for r in got) > 0
+
+
+def test_hamming_retrieval():
+    rng = np.random.default_rng(2)
+    bits = rng.random((300, 2, 12)) < 0.5
+    bits[150:] = bits[:150] ^ (rng.random((150, 2, 12)) < 0.1)
+    words, key = embedding_dedup.packed_codes(bits).view(np.uint64), embedding_dedup.keys(bits, 6)
+    assert key.shape == (300, 4) and key[3, 2] == sum(int(b) << k for k, b in enumerate(bits[3, 1, :6]))
+    far = (bits[:, None] != bits[None]).sum((2, 3))
+    for table in (0, 3):
+        want = {(i, j) for i in range(300) for j in range(i + 1, 300) if far[i, j] <= 3 and not (key[i, :table] == key[j, :table]).any()}
+        got = [(int(i), int(j)) for a, b in embedding_dedup.retrieved(words, key, table, np.zeros(300, int), 3) for i, j in zip(a, b, strict=True)]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_spans(docs):
     rows = {r.doc_id: r.text for r in docs.where("doc_id IS NOT NULL").collect()}
     got = {r.doc_id: r for r in pii.private_spans(docs).collect()}
