@@ -39,22 +39,22 @@ def log_count_ratio(rows: list[np.ndarray], label: np.ndarray, cells: int, alpha
 
 
 def dual_descent(rows: list[np.ndarray], values: np.ndarray, y: np.ndarray, cost: np.ndarray, epochs: int, seed: int = 0) -> tuple[np.ndarray, float]:
-    """Minimise |w|^2/2 + sum cost_i max(0, 1 - y_i w.x_i)^2 over (w, bias); x_i has values[c] at its cells c.
+    """Minimise (|w|^2 + bias^2) / 2 + sum cost_i max(0, 1 - y_i (w.x_i + bias)); x_i has values[c] at its cells c.
 
-    Coordinates whose projected gradient is zero and that sit at the bound are passed over until an epoch checks all.
+    The dual's variables lie between 0 and cost_i; one that sits at a bound with its gradient pointing outwards is passed over.
     """
     w, bias = np.zeros(len(values)), 0.0
     small = values.astype(np.float32)
     x = [small[r] for r in rows]
-    alpha, q = np.zeros(len(rows)), np.array([float(v @ v) for v in x]) + 1 + 0.5 / cost
+    alpha, q = np.zeros(len(rows)), np.array([float(v @ v) for v in x]) + 1
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         most = 0.0
         for i in rng.permutation(len(rows)):
-            g = y[i] * (x[i] @ w[rows[i]] + bias) - 1 + alpha[i] * 0.5 / cost[i]
-            if alpha[i] == 0 and g >= 0:
+            g = y[i] * (x[i] @ w[rows[i]] + bias) - 1
+            if (alpha[i] == 0 and g >= 0) or (alpha[i] == cost[i] and g <= 0):
                 continue
-            new = max(alpha[i] - g / q[i], 0.0)
+            new = min(max(alpha[i] - g / q[i], 0.0), cost[i])
             step = (new - alpha[i]) * y[i]
             most = max(most, abs(g))
             if step:
