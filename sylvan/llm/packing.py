@@ -44,7 +44,8 @@ class WordCodec:
     The tokenizer drops white space and no token crosses it, so a text's ids are those of its chunks in turn.
     """
 
-    def __init__(self, spec: str):
+    def __init__(self, spec: str, kept: int = KEPT):
+        self.kept = kept
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -72,7 +73,7 @@ class WordCodec:
         behind = [c[len(w) :] for c, w in zip(simple, words, strict=True)]
         words = "\n".join(words).lower().split("\n") if words else []
         need = set(words).union(behind, whole) - {""}
-        if len(self.units) + len(need) > KEPT:
+        if len(self.units) + len(need) > self.kept:
             self.units.clear()
         self.units[""] = b""
         new = need.difference(self.units)
@@ -92,7 +93,7 @@ class WordCodec:
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         cut = [None if any(map(x.__contains__, NOT_SPACE)) else x.split() for x in texts]
         need = set().union(*(c for c in cut if c))
-        if len(self.table) + len(new := need.difference(self.table)) > KEPT:
+        if len(self.table) + len(new := need.difference(self.table)) > self.kept:
             self.table.clear()
             new = need
         self.learn(new)
@@ -195,20 +196,21 @@ class Packer:
         return out
 
 
-def packed(docs: DataFrame, vocabulary: str, window: int = 4096, with_ids: bool = False) -> DataFrame:
+def packed(docs: DataFrame, vocabulary: str, window: int = 4096, with_ids: bool = False, kept: int = KEPT, batch: int = BATCH) -> DataFrame:
     """Pieces of documents in sequences of at most `window` tokens: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset, and ids array<int> if with_ids.
 
     A document is its ids and then END_ID, so null and empty texts are one id. Documents are packed in the order of their
     rows within each partition, so nothing is shuffled; sequence_id holds the partition and a running number. Repeated
     rows and null doc_ids are packed like others; an empty table gives no piece. vocabulary is a tokenizer file's path on
-    the driver. A task holds about HELD tokens, or one document if that is longer.
+    the driver. A task holds about HELD tokens, or one document if that is longer. kept (chunks in a worker's table) and
+    batch (bytes encoded at a time) trade memory for time and change no row.
     """
     with open(vocabulary, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches):
-        c = resident(("packing", spec.value), lambda: WordCodec(spec.value))
+        c = resident(("packing", kept, spec.value), lambda: WordCodec(spec.value, kept))
         packer = Packer(c.ends_sentence, window)
         number = TaskContext.get().partitionId() << 33
         known: dict[int, tuple] = {}  # open documents: doc_id, tokens
@@ -235,7 +237,7 @@ def packed(docs: DataFrame, vocabulary: str, window: int = 4096, with_ids: bool
 
         for b in batches:
             doc_ids, texts = b.column(0).to_pylist(), b.column(1)
-            for i, j in parts(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), BATCH):
+            for i, j in parts(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), batch):
                 for doc_id, ids in zip(doc_ids[i:j], c.encode_batch([x or "" for x in texts[i:j].to_pylist()]), strict=True):
                     ids = np.append(ids, np.uint32(END_ID))
                     known[n] = doc_id, len(ids)

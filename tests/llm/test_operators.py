@@ -130,6 +130,12 @@ def test_packing(docs):
         assert sum(p.length for p in s) <= 64 and [p.offset for p in s] == np.cumsum([0] + [p.length for p in s])[:-1].tolist()
 
 
+def test_small_tables_give_the_same_pieces(docs):
+    path, d = public_tokenizers.path("word_bpe_49k.json"), docs.coalesce(1).sortWithinPartitions("doc_id", "text")
+    small = packing.packed(d, path, kept=3, batch=50).collect()
+    assert small == packing.packed(d, path).collect() and small
+
+
 def test_cuts_are_best():
     rng = random.Random(1)
     for _ in range(50):
