@@ -34,8 +34,8 @@ def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The texts as pieces of token windows."""
-    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """The texts as pieces of token windows. The workers' tables are small, as the stages before leave large JVMs behind."""
+    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), kept=100_000, batch=1 << 19)
 
 
 STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("jaccard_join", drop_near_copies), ("pii", sanitise), ("packing", pack)]
