@@ -10,22 +10,32 @@ from pyspark.sql import types as T
 
 
 def bin_edges(df: DataFrame, n_features: int, max_bins: int = 255) -> list[list[float]]:
-    """Inner edges of each feature of column x: distinct quantiles, as many bins as distinct values, max_bins at most.
+    """Inner edges of each feature of column x; NaN is left out.
 
-    A feature of up to max_bins values is cut by its exact quantiles; NaN is left out.
+    A feature of up to max_bins distinct values has a bin for each, cut in the middle between neighbours; others are cut by
+    max_bins exact quantiles, of which equal ones count once.
     """
     value = [F.when(~F.isnan(F.get("x", F.lit(i))), F.get("x", F.lit(i))) for i in range(n_features)]
+    quantiles = F.array(*(F.lit(q) for q in np.linspace(0, 1, max_bins + 1).tolist()))
     out: list[list[float]] = []
     for at in range(0, n_features, 32):
         some = value[at : at + 32]
         counts = df.agg(*(F.count_distinct(v) for v in some)).first()
-        sizes = [min(max_bins, c) for c in counts]
-        exprs = [F.percentile(v, F.array(*(F.lit(q) for q in np.linspace(0, 1, n + 1).tolist()))).alias(f"q{i}") for i, (v, n) in enumerate(zip(some, sizes, strict=True)) if n > 1]
+        exprs = [(F.percentile(v, quantiles) if n > max_bins else F.collect_set(v)).alias(f"q{i}") for i, (v, n) in enumerate(zip(some, counts, strict=True)) if n > 1]
         got = df.agg(*exprs).first().asDict() if exprs else {}
-        out += [np.unique(got[f"q{i}"])[1:-1].tolist() if f"q{i}" in got else [] for i in range(len(some))]
+        for i, n in enumerate(counts):
+            v = np.unique(got.get(f"q{i}", []))
+            out.append((v[1:-1] if n > max_bins else middles(v)).tolist())
     return out
 
 
+def middles(v: np.ndarray) -> np.ndarray:
+    """Middles between neighbours of sorted distinct values; the lower one where no double lies between."""
+    low, high = v[:-1], v[1:]
+    mid = low / 2 + high / 2
+    return np.where((low <= mid) & (mid < high), mid, low)
+
+
 def code(value: Column, edges: list[float], rule: str = "right_closed") -> Column:
     """Bin of a value: -1 for NaN, else the number of inner edges below it (rule "left_closed": not above it)."""
     cuts = F.array(*(F.lit(float(e)) for e in edges)).cast("array<double>")
