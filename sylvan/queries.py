@@ -202,7 +202,7 @@ def _stump_rounds(y: str, init: str, grad: str, hess: str, rate: float, rounds:
 
 
 def _stumps(model, label, spark, sf_dir):
-    """A model of stumps on the bins' middles of l_quantity, so that its quantile edges are the distinct middles' own."""
+    """A model of stumps on the bins of l_quantity, so that its edges lie between these five values, however rows are spread."""
     d = sample(spark, sf_dir).withColumns({"label": label, "q": binning.code(F.col("l_quantity"), EDGES[0]).cast("double")})
     return model(feature_cols=["q"], num_leaves=2, lambda_l2=1.0, use_histogram=True, learning_rate=0.5), d
 

@@ -48,3 +48,7 @@ def holds(spark, folder, name):
 
 def test_classifier_rounds_cut_at_each_value(spark, uneven):
     holds(spark, uneven, "classifier_rounds")
+
+
+def test_regressor_rounds_cut_at_each_value(spark, uneven):
+    holds(spark, uneven, "regressor_rounds")
