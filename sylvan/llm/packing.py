@@ -10,11 +10,13 @@ so a monotone queue over f(j) + p(j) gives each transition in amortised constant
 
 from __future__ import annotations
 
+import gc
 import operator
 import os
 import re
 import zlib
 from collections import deque
+from itertools import compress, count
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,9 @@ GAP, STEP = 32, 64
 HELD, KEPT = 1 << 20, 1_000_000
 BATCH = 2 << 20
 #: str.split() also splits at these, which the tokenizer treats as text.
-PUNCTUATION, LATIN = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~", re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: A line that is a word, which is one token's end and no more, with plain punctuation behind it.
+SIMPLE = re.compile(f"^([A-Za-zÀ-ÖØ-öø-ÿ]+)([{re.escape(PUNCTUATION)}]*)$", re.MULTILINE)
 MARK = "\0"
 NOT_SPACE = "\x1c\x1d\x1e\x1f"
 
@@ -53,53 +57,76 @@ class WordCodec:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         vocab = self.tokenizer.get_vocab()
-        self.ends_sentence = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends_sentence, self.ends_word, self.is_mark = np.zeros((3, max(vocab.values()) + 1), bool)
         for token, i in vocab.items():
+            self.ends_word[i] = token.endswith("</w>")
             self.ends_sentence[i] = token.removesuffix("</w>")[-1:] in {".", "!", "?"}
         self.table: dict[str, bytes] = {}
         self.units: dict[str, bytes] = {}
-        (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        (mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.is_mark[mark] = True
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _learn_units(self, units: list[str], between: str, marks: np.ndarray, own: int) -> None:
+        """Encode units as few texts, which costs far less than one by one. marks: ids that stand once behind each unit (own 0)
+        or are its last ones (own 1)."""
+        for i, j in parts([len(x) for x in units], 1 << 20):
+            ids = np.array(self.tokenizer.encode_batch_fast([between.join(units[i:j])], add_special_tokens=False)[0].ids, "<u4")
+            at = np.flatnonzero(marks[ids])
+            begin, end = np.append(0, at + 1), np.append(at + own, len(ids))
+            if own:
+                begin, end = begin[:-1], end[:-1]
+            raw = ids.tobytes()
+            self.units.update(zip(units[i:j], (raw[a:b] for a, b in zip((4 * begin).tolist(), (4 * end).tolist(), strict=True)), strict=True))
+
     def learn(self, chunks: set[str]) -> None:
         """Encode chunks and keep them. A word with plain punctuation behind it is the word's ids and the punctuation's."""
-        simple, whole = [], []
-        for c in chunks:
-            w = c.rstrip(PUNCTUATION)
-            (simple if w.isalpha() and (w.isascii() or LATIN.fullmatch(w)) else whole).append(c)
-        words = [c.rstrip(PUNCTUATION) for c in simple]
-        behind = [c[len(w) :] for c, w in zip(simple, words, strict=True)]
+        found = SIMPLE.findall("\n".join(chunks))
+        words, behind = (list(x) for x in zip(*found, strict=True)) if found else ([], [])
+        simple = list(map(operator.add, words, behind))
+        whole = chunks.difference(simple) if len(simple) < len(chunks) else set()
         words = "\n".join(words).lower().split("\n") if words else []
-        need = set(words).union(behind, whole) - {""}
-        if len(self.units) + len(need) > self.kept:
+        if len(self.units) + len(need := set(words).union(behind, whole) - {""}) > self.kept:
             self.units.clear()
         self.units[""] = b""
         new = need.difference(self.units)
+        plain = list(new.intersection(words))
+        new.difference_update(plain)
         odd = [x for x in new if MARK in x]
         self.units.update(zip(odd, self._ids(odd), strict=True))
-        new = [x for x in new if MARK not in x]
-        for i, j in parts([len(x) for x in new], 1 << 20):
-            # One text, with a chunk in between that none of them holds: one call costs far less than many.
-            ids = np.array(self.tokenizer.encode_batch_fast([f" {MARK} ".join(new[i:j])], add_special_tokens=False)[0].ids, "<u4")
-            at = np.flatnonzero(ids == self.mark)
-            raw, begin, end = ids.tobytes(), 4 * np.append(0, at + 1), 4 * np.append(at, len(ids))
-            self.units.update(zip(new[i:j], (raw[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)), strict=True))
+        self._learn_units(plain, " ", self.ends_word, 1)
+        # With a chunk in between that none of them holds.
+        self._learn_units([x for x in new if MARK not in x], f" {MARK} ", self.is_mark, 0)
         get = self.units.__getitem__
         self.table.update(zip(simple, map(operator.add, map(get, words), map(get, behind)), strict=True))
         self.table.update(zip(whole, map(get, whole), strict=True))
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        # Many small objects and no cycles: the collector would only walk through them, again and again.
+        on = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode_batch(texts)
+        finally:
+            if on:
+                gc.enable()
+
+    def _encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         cut = [None if any(map(x.__contains__, NOT_SPACE)) else x.split() for x in texts]
-        need = set().union(*(c for c in cut if c))
-        if len(self.table) + len(new := need.difference(self.table)) > self.kept:
+        got = [None if c is None else list(map(self.table.get, c)) for c in cut]
+        # No chunk is without ids, so what is missing is what is false.
+        gone = [[] if g is None else list(compress(count(), map(operator.not_, g))) for g in got]
+        new = set().union(*(map(c.__getitem__, at) for c, at in zip(cut, gone, strict=True) if at))
+        if len(self.table) + len(new) > self.kept:
             self.table.clear()
-            new = need
         self.learn(new)
         out = []
-        for x, c in zip(texts, cut, strict=True):
-            raw = self._ids([x])[0] if c is None else b"".join(map(self.table.__getitem__, c))
+        for x, c, g, at in zip(texts, cut, got, gone, strict=True):
+            for i in at:
+                g[i] = self.table[c[i]]
+            raw = self._ids([x])[0] if c is None else b"".join(g)
             out.append(np.frombuffer(raw, "<u4"))
         return out
 
