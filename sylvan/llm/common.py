@@ -72,6 +72,14 @@ def lean(run, keeps: bool = False):
     return task
 
 
+def collected(jvm) -> None:
+    """Collect the driver's garbage if its heap has grown beyond half its limit. Plans and small broadcasts of queries that have
+    ended are most of it; the collector would rather grow the heap, of which a small driver has none to spare."""
+    heap = jvm.java.lang.Runtime.getRuntime()
+    if 2 * heap.totalMemory() > heap.maxMemory():
+        heap.gc()
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Write df once to the shared folder and read it back: a lineage cut that survives lost executors."""
     spark = df.sparkSession
@@ -83,6 +91,7 @@ def written(df: DataFrame, tag: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
+    collected(spark._jvm)
     return spark.read.schema(df.schema).parquet(path)
 
 

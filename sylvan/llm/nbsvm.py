@@ -13,6 +13,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sylvan.llm.common import parts
+
 
 @dataclass(frozen=True)
 class LinearModel:
@@ -31,10 +33,12 @@ class LinearModel:
 
 
 def log_count_ratio(rows: list[np.ndarray], label: np.ndarray, cells: int, alpha: float) -> np.ndarray:
-    flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    owner = np.repeat(label == 1, [len(x) for x in rows])
-    p = alpha + np.bincount(flat[owner], minlength=cells)
-    q = alpha + np.bincount(flat[~owner], minlength=cells)
+    n = np.zeros((2, cells), np.int64)
+    for kind in (0, 1):
+        own = [x for x, one in zip(rows, label == 1, strict=True) if one == kind]
+        for i, j in parts([len(x) for x in own], 1 << 18):
+            n[kind] += np.bincount(np.concatenate(own[i:j]), minlength=cells)
+    q, p = alpha + n
     return (np.log(p / p.sum()) - np.log(q / q.sum())).astype(np.float64)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sylvan.llm import nbsvm
-from sylvan.llm.common import lean, parts, resident
+from sylvan.llm.common import lean, parts, released, resident
 
 #: n-gram lengths in characters, hashed cells, words kept per worker, training bounds (rows, characters), threshold.
 LENGTHS, BITS, KEPT = (3, 4, 5), 18, 150_000
@@ -90,9 +90,14 @@ def scored(docs: DataFrame, model: nbsvm.LinearModel, features, threshold: float
 
 
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_chars: int = MOST_CHARS) -> nbsvm.LinearModel:
-    """Model from a bounded sample of labelled rows (see nbsvm.training_rows)."""
+    """Model from a bounded sample of labelled rows (see nbsvm.training_rows). The driver keeps none of it but the model."""
     text, y = nbsvm.training_rows(docs, labels, "toxic", most_rows, most_chars)
-    return nbsvm.fit(rows_of(Features(), text), y, CELLS)
+    rows = rows_of(Features(), text)
+    del text
+    model = nbsvm.fit(rows, y, CELLS)
+    del rows
+    released()
+    return model
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
