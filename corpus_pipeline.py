@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from sylvan.llm import exact_dedup, jaccard_join, packing, pii, toxicity
-from sylvan.llm.common import read, written
+from sylvan.llm.common import collected_by_executors, read, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +38,17 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), kept=100_000, batch=1 << 19)
 
 
-STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("jaccard_join", drop_near_copies), ("pii", sanitise), ("packing", pack)]
+def begun(stage):
+    """The stage, begun with what the one before left in the executors' heaps collected."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        collected_by_executors(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+STAGES = [("toxicity", begun(drop_toxic)), ("exact_dedup", begun(drop_copies)), ("jaccard_join", begun(drop_near_copies)), ("pii", begun(sanitise)), ("packing", begun(pack))]
 
 #: Models and tokenizers are not SQL; the tests hold run() against a plain version.
 ORACLE_SQL = None

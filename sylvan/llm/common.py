@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 #: Edges that one task may hold at once (16 MB); up to that many are joined up in one step, more by star steps.
 HELD = 1_000_000
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: On a file: path, Hadoop's checksummed local file system starts a chmod process for a task's folder, its file and its .crc file.
+#: The raw one writes no .crc files; uncached, so that it serves the tables written here only. Other file systems are not touched.
+RAW = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -80,18 +83,28 @@ def collected(jvm) -> None:
         heap.gc()
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: a lineage cut that survives lost executors."""
+def collected_by_executors(spark: SparkSession) -> None:
+    """Collect the executors' garbage, by one small task for each of them, and so give back heap that a step before has grown.
+    G1 returns memory after a whole collection only. Tasks are dealt out in turn, so a busy executor may be left out."""
+    n = max(1, spark.sparkContext._jsc.sc().getExecutorMemoryStatus().size() - 1)  # the driver is counted too
+    spark.range(0, n, 1, n).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
+
+
+def written(df: DataFrame, tag: str, large: bool = False) -> DataFrame:
+    """Write df once to the shared folder and read it back: a lineage cut that survives lost executors. After steps that are
+    `large` the executors collect their garbage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     # What the write shuffled is not read again, so its files may go as soon as it has ended.
     before = spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.options(compression="zstd", **RAW).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     collected(spark._jvm)
+    if large:
+        collected_by_executors(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -313,7 +313,8 @@ def verified(pairs: DataFrame, docs: DataFrame, sketches: DataFrame) -> DataFram
                 yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + len(texts)], pa.int64()), pa.array([shingle(x).tobytes() for x in texts], pa.binary())], ["doc_id", "set"])
 
     ids = left.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = written(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(lean(whole), "doc_id long, set binary"), "sets")
+    sets = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(lean(whole), "doc_id long, set binary")
+    sets = written(sets.hint("rebalance"), "sets", large=True)  # few sets of many documents would make a small file for each task
 
     def same(batches):
         for b in batches:
@@ -341,7 +342,7 @@ def near_documents(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    both = written(summaries(docs), "summaries")
+    both = written(summaries(docs), "summaries", large=True)
     rows = both.where("kind = 0")
     top = written(both.where("kind = 1").groupBy("doc_id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "doc_id").limit(COMMON), "common").toArrow()
     key, n = (top.column(k).to_numpy().astype(np.int64) for k in range(2))
@@ -351,12 +352,12 @@ def near_documents(docs: DataFrame) -> DataFrame:
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     entries = prefixes(docs, common.copy()).join(reps, ["doc_id", "s1", "s2"]).select("doc_id", "n", F.posexplode("prefix").alias("pos", "key")).select("key", "n", "doc_id", F.col("pos").cast("long").alias("pos"))
     entries = entries.repartitionByRange(n_parts, "key", "n", "doc_id").sortWithinPartitions("key", "n", "doc_id")
-    lists = written(entries.mapInArrow(lean(_lists), "key long, block long, n long, doc_id long, pos int, prev long, open boolean"), "lists")
+    lists = written(entries.mapInArrow(lean(_lists), "key long, block long, n long, doc_id long, pos int, prev long, open boolean"), "lists", large=True)
     # Four keys of each set by the smallest of four hashes; none that would be of use where rows of a doc_id differ.
     marks = lists.groupBy("doc_id", "n").agg(*(F.min_by("key", F.xxhash64("key", F.lit(t))).alias(m) for t, m in enumerate(MARKS)))
     marks = marks.join(reps.groupBy("doc_id").count().where("count > 1"), "doc_id", "left_anti")
     own = rows.where("n > 0").join(reps, ["doc_id", "s1", "s2"], "left_semi").select("doc_id", "n", "sketch", *NARROW).distinct().join(marks, ["doc_id", "n"], "left")
-    sketches = written(own.withColumns({m: F.coalesce(m, F.xxhash64("doc_id", F.lit(t))) for t, m in enumerate(MARKS)}), "sketches")
+    sketches = written(own.withColumns({m: F.coalesce(m, F.xxhash64("doc_id", F.lit(t))) for t, m in enumerate(MARKS)}), "sketches", large=True)
 
     # Each set and the neighbour it shares most lists with.
     best = lists.where("prev IS NOT NULL").groupBy("doc_id", "prev").count().groupBy("doc_id").agg(F.max_by("prev", F.struct("count", "prev")).alias("prev"))
@@ -379,7 +380,7 @@ def near_documents(docs: DataFrame) -> DataFrame:
         more = more.groupBy("a", "b").agg(F.min("apart").alias("apart")).join(tried, ["a", "b"], "left_anti")
         if nearest:
             more = more.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a"))
-        more = written(more.select("a", "b"), "more")
+        more = written(more.select("a", "b"), "more", large=True)
         tried = tried.unionByName(more)
         new = written(verified(more, docs, sketches), "links")
         links = links.unionByName(new)

@@ -1,12 +1,16 @@
-"""What the driver holds besides results."""
+"""What the driver holds besides results, what executors give back and the files that tables are written to."""
 
 import tracemalloc
+from pathlib import Path
 from types import SimpleNamespace
+from urllib.parse import urlparse
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from sylvan.llm import common, nbsvm
+import corpus_pipeline
+from sylvan.llm import common, jaccard_join, nbsvm
 
 
 def test_log_count_ratio_holds_no_copy_of_all_rows():
@@ -34,3 +38,50 @@ def test_tables_are_written_with_little_heap(spark, monkeypatch):
     calls = []
     monkeypatch.setattr(common, "collected", lambda jvm: calls.append(jvm.java.lang.Runtime.getRuntime().maxMemory() > 0))
     assert common.written(spark.range(3), "small").count() == 3 and calls == [True]
+
+
+def test_executors_collect_their_garbage(spark):
+    """In local mode the driver's JVM is the executor's."""
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    full = lambda: sum(b.getCollectionCount() for b in beans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = full()
+    common.collected_by_executors(spark)
+    assert full() > before
+
+
+def test_large_steps_and_stages_end_with_a_collection(spark, monkeypatch):
+    calls = []
+    for module in (common, corpus_pipeline):
+        monkeypatch.setattr(module, "collected_by_executors", lambda s: calls.append(s))
+    common.written(spark.range(3), "small")
+    assert not calls
+    common.written(spark.range(3), "large", large=True)
+    assert len(calls) == 1
+    docs = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
+    dict(corpus_pipeline.STAGES)["exact_dedup"](spark, docs, "")
+    assert len(calls) == 2
+
+
+def test_written_tables_start_no_process_for_checksum_files(spark):
+    df = common.written(spark.range(0, 100, 1, 4), "raw")
+    folder = Path(urlparse(df.inputFiles()[0]).path).parent
+    assert len(list(folder.glob("*.parquet"))) == 4 and not list(folder.glob(".*.crc"))
+    assert sorted(r.id for r in df.collect()) == list(range(100))
+
+
+def test_few_sets_of_many_files_are_written_to_few_files(spark, tmp_path, monkeypatch):
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(k, text + " end" if k == 1 else text if k == 0 else f"only {k} stands here in this text") for k in range(64)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(16, "doc_id").write.parquet(str(tmp_path / "docs"))
+    docs, files, plain = spark.read.parquet(str(tmp_path / "docs")), {}, common.written
+
+    def counted(df, tag, **rest):
+        out = plain(df, tag, **rest)
+        files.setdefault(tag, []).append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "written", counted)
+    pairs = spark.createDataFrame([(2 * k, 2 * k + 1) for k in range(32)], "a long, b long")
+    sketches = jaccard_join.summaries(docs).where("kind = 0").withColumn("sketch", F.lit(bytes(32)))
+    links = jaccard_join.verified(pairs, docs, sketches).collect()
+    assert [tuple(x) for x in links] == [(0, 1)] and files["sets"] == [1]
